@@ -170,9 +170,9 @@ def unify(cells: DataFrame) -> DataFrame:
         for b in batches:
             forms = []
             for plain, starts, ends, words, ok in zip(b["plain"], b["starts"], b["ends"], b["words"], b["granted"]):
-                forms.append(settle(plain, list(zip(starts, ends, words)), set() if ok is None else set(ok)))
+                forms.append(settle(plain, list(zip(starts, ends, words)), set(ok)))
             out = b[["table_name", "row_id", "field_name", "value"]].assign(form=forms)
             yield out.assign(changed=out["form"] != out["value"])
 
-    joined = proposed.join(granted, ["table_name", "row_id", "field_name"], "left")
+    joined = proposed.join(granted, ["table_name", "row_id", "field_name"], "left").withColumn("granted", F.coalesce("granted", F.array().cast("array<string>")))
     return joined.mapInPandas(finish, "table_name string, row_id bigint, field_name string, value string, form string, changed boolean")

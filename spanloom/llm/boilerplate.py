@@ -15,11 +15,11 @@ import re
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import stage
+from ._arrow import over_batches
 from .charform import fold
 
 # How furniture lines of news pages begin or read, by kind of block; lower case, spaces collapsed.
@@ -186,13 +186,12 @@ def paths(pages: DataFrame, key: str = "id", text: str = "original_text", url: s
     """
     rows = pages.select(F.col(f"`{key}`").cast("bigint").alias("row_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{url}`").alias("url")).filter("text <> ''")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[tuple[list, ...]]) -> Iterator[list[tuple]]:
         memo: dict = {}
-        names = ["row_id", "site", "line_no", "path", "chars", "ended", "shape"]
-        for b in batches:
-            yield pd.DataFrame([describe(i, site(u), parse(t, memo)) for i, t, u in zip(b["row_id"], b["text"], b["url"])], columns=names)
+        for ids, texts, urls in batches:
+            yield [describe(i, site(u), parse(t, memo)) for i, t, u in zip(ids, texts, urls)]
 
-    return rows.mapInPandas(run, PARSED)
+    return over_batches(rows, run, PARSED)
 
 
 def lines_of(parsed: DataFrame) -> DataFrame:

@@ -12,10 +12,10 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import stage
+from ._arrow import over_batches
 
 # Letters of other scripts that look like a Latin letter.
 LOOKALIKES = {
@@ -137,13 +137,12 @@ def unify(cells: DataFrame) -> DataFrame:
     tokens; proposals ask for tokens through a join, so neither side is ever gathered.
     """
 
-    def propose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["table_name", "row_id", "field_name", "value", "plain", "starts", "ends", "words", "token"]
+    def propose(batches: Iterator[tuple[list, ...]]) -> Iterator[list[tuple]]:
         tokens: set[str] = set()
         sent: set[str] = set()
         for b in batches:
             out = []
-            for table, row_id, field, value in zip(b["table_name"], b["row_id"], b["field_name"], b["value"]):
+            for table, row_id, field, value in zip(*b):
                 words = _WORD.findall(value.lower())
                 if not _SUSPECT.search(value):
                     tokens.update(words)
@@ -151,28 +150,29 @@ def unify(cells: DataFrame) -> DataFrame:
                 tokens.update(w for w in words if not _SUSPECT.search(w))
                 plain, asks = usual(value)
                 out.append((table, row_id, field, value, plain, [a[0] for a in asks], [a[1] for a in asks], [a[2] for a in asks], None))
-            yield pd.DataFrame(out, columns=names)
+            yield out
             tokens -= sent
             sent |= tokens
-            yield pd.DataFrame({n: None for n in names[:-1]} | {"token": sorted(tokens)}, columns=names)
+            yield [(None,) * 8 + (t,) for t in tokens]
             tokens = set()
             if len(sent) > 500_000:
                 sent = set()
 
     schema = "table_name string, row_id bigint, field_name string, value string, plain string, starts array<int>, ends array<int>, words array<string>, token string"
-    passed = stage(cells.filter("value <> ''").mapInPandas(propose, schema), "charform")
+    passed = stage(over_batches(cells.select("table_name", "row_id", "field_name", "value").filter("value <> ''"), propose, schema), "charform")
     proposed = passed.filter("token is null").drop("token")
     known = passed.filter("token is not null").select(F.col("token").alias("w")).distinct()
     asked = proposed.filter(F.size("words") > 0).select("table_name", "row_id", "field_name", F.explode(F.transform("words", F.lower)).alias("w"))
     granted = asked.join(known, "w").groupBy("table_name", "row_id", "field_name").agg(F.collect_set("w").alias("granted"))
 
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def finish(batches: Iterator[tuple[list, ...]]) -> Iterator[list[tuple]]:
         for b in batches:
-            forms = []
-            for plain, starts, ends, words, ok in zip(b["plain"], b["starts"], b["ends"], b["words"], b["granted"]):
-                forms.append(settle(plain, list(zip(starts, ends, words)), set(ok)))
-            out = b[["table_name", "row_id", "field_name", "value"]].assign(form=forms)
-            yield out.assign(changed=out["form"] != out["value"])
+            out = []
+            for table, row_id, field, value, plain, starts, ends, words, ok in zip(*b):
+                form = settle(plain, list(zip(starts, ends, words)), set(ok))
+                out.append((table, row_id, field, value, form, form != value))
+            yield out
 
     joined = proposed.join(granted, ["table_name", "row_id", "field_name"], "left").withColumn("granted", F.coalesce("granted", F.array().cast("array<string>")))
-    return joined.mapInPandas(finish, "table_name string, row_id bigint, field_name string, value string, form string, changed boolean")
+    wanted = joined.select("table_name", "row_id", "field_name", "value", "plain", "starts", "ends", "words", "granted")
+    return over_batches(wanted, finish, "table_name string, row_id bigint, field_name string, value string, form string, changed boolean")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import boilerplate, charform, repeated
+from . import boilerplate, charform, neardup, repeated
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -19,6 +19,13 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return bad.select(F.col("row_id").alias("article_id"), "line_no")
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of full articles of which more than half of the distinct runs of three words occur in both bodies."""
+    full = _t(spark, sf, "articles").filter("body_source = 'full'")
+    pairs = neardup.article_pairs(full)
+    return pairs.select(F.col("a").alias("article_id_a"), F.col("b").alias("article_id_b"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     """Values of entries and articles that are not in the usual character form."""
     return _forms(spark, sf).filter("changed").select("table_name", "row_id", "field_name")
@@ -37,6 +44,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p5_found": p5_found,
     "p6_found": p6_found,
     "p7_found": p7_found,
 }

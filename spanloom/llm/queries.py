@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import boilerplate, charform, neardup, repeated
+from . import boilerplate, charform, neardup, repeated, truncation
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -19,6 +19,22 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return bad.select(F.col("row_id").alias("article_id"), "line_no")
 
 
+def _values(spark: SparkSession, sf: str) -> DataFrame:
+    raw = _t(spark, sf, "raw_articles").select(F.lit("raw_articles").alias("table_name"), F.col("feed_row_id").alias("row_id"), "source", F.col("summary").alias("text"), F.lit(False).alias("page"))
+    full = _t(spark, sf, "articles").select(F.lit("articles").alias("table_name"), F.col("id").alias("row_id"), "source", F.col("original_text").alias("text"), (F.col("body_source") == "full").alias("page"))
+    return raw.unionByName(full)
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Summaries and page texts that end before their last sentence does."""
+    return truncation.judged(_values(spark, sf)).filter("cut").select("table_name", "row_id")
+
+
+def p4_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """How often the values of each source are cut."""
+    return truncation.rates(truncation.judged(_values(spark, sf)))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of full articles of which more than half of the distinct runs of three words occur in both bodies."""
     full = _t(spark, sf, "articles").filter("body_source = 'full'")
@@ -44,6 +60,8 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p4_found": p4_found,
+    "p4_rates": p4_rates,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p7_found": p7_found,

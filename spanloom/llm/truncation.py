@@ -87,7 +87,7 @@ def ending(text: str, page: bool, memo: _Classes, kinds: dict) -> tuple[str, boo
     return plain, bool(_DONE.search(plain[-8:])), marked, broken, furniture
 
 
-VALUES = "table_name string, row_id bigint, source string, chars int, bytes int, ended boolean, marked boolean, broken boolean, furniture boolean, last1 bigint, last2 bigint, text_key bigint"
+VALUES = "table_name string, row_id bigint, source string, chars int, bytes int, ended boolean, marked boolean, broken boolean, furniture boolean, last1 bigint, last2 bigint, text_key bigint, page boolean"
 
 
 def _read(values: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ def _read(values: DataFrame) -> DataFrame:
                 last = _TOKEN.findall(core[-80:])[-2:]
                 one = memo[last[-1]] if last else 0
                 two = int(_pair(np.array([memo[last[0]] if len(last) > 1 else 0], np.uint64), np.array([one], np.uint64))[0])
-                out.append((table, row_id, source, len(text), len(text.encode()), ended, marked, broken, furniture, one - (1 << 63), two - (1 << 63), xxhash.xxh3_64_intdigest(text) - (1 << 63), None, None, None, None))
+                out.append((table, row_id, source, len(text), len(text.encode()), ended, marked, broken, furniture, one - (1 << 63), two - (1 << 63), xxhash.xxh3_64_intdigest(text) - (1 << 63), page, None, None, None, None))
             if streams:
                 out += _contexts(np.concatenate(streams))
             yield out
@@ -128,7 +128,7 @@ def _contexts(codes: np.ndarray) -> list[tuple]:
         n = np.bincount(where, minlength=len(each))
         e = np.bincount(where, weights=ends[known], minlength=len(each)).astype(int)
         signed = (each ^ np.uint64(1 << 63)).view(np.int64)
-        rows += [(None,) * 12 + (rank, c, int(a), int(b)) for c, a, b in zip(signed.tolist(), n, e)]
+        rows += [(None,) * 13 + (rank, c, int(a), int(b)) for c, a, b in zip(signed.tolist(), n, e)]
     return rows
 
 
@@ -155,14 +155,14 @@ def _tail(k: int, rate: float) -> float:
 
 
 def limits(endings: DataFrame, rate: float = 0.001, near: int = 8, far: int = 40) -> DataFrame:
-    """(table_name, source, measure, length): lengths at which unfinished endings are too frequent.
+    """(page, source, measure, length): lengths at which unfinished endings are too frequent.
 
-    `endings` has table_name, source, chars, bytes, ended, text_key; equal texts count once. Per source and measure the count at each length is tested
+    `endings` has page, source, chars, bytes, ended, text_key; equal texts count once. Per source and measure the count at each length is tested
     against the counts `near` to `far` away on both sides; Benjamini-Hochberg holds the false-discovery rate.
     """
-    measured = endings.filter("not ended").select("table_name", "source", "chars", "bytes", "text_key").distinct().select("table_name", "source", F.explode(F.array(F.struct(F.lit("chars").alias("measure"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("measure"), F.col("bytes").alias("length")))).alias("m")).select("table_name", "source", "m.*")
-    counts = measured.groupBy("table_name", "source", "measure", "length").agg(F.count("*").alias("k"))
-    part = Window.partitionBy("table_name", "source", "measure")
+    measured = endings.filter("not ended").select("page", "source", "chars", "bytes", "text_key").distinct().select("page", "source", F.explode(F.array(F.struct(F.lit("chars").alias("measure"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("measure"), F.col("bytes").alias("length")))).alias("m")).select("page", "source", "m.*")
+    counts = measured.groupBy("page", "source", "measure", "length").agg(F.count("*").alias("k"))
+    part = Window.partitionBy("page", "source", "measure")
     order = part.orderBy("length")
     around = F.coalesce(F.sum("k").over(order.rangeBetween(-far, -near)), F.lit(0)) + F.coalesce(F.sum("k").over(order.rangeBetween(near, far)), F.lit(0))
     tested = counts.withColumn("expected", (around + 0.5) / (2.0 * (far - near + 1)))
@@ -171,16 +171,17 @@ def limits(endings: DataFrame, rate: float = 0.001, near: int = 8, far: int = 40
         for b in batches:
             yield [(t, s, m, length, k, _tail(k, e)) for t, s, m, length, k, e in zip(*b)]
 
-    tested = over_batches(tested.select("table_name", "source", "measure", "length", "k", "expected"), run, "table_name string, source string, measure string, length int, k bigint, p double")
+    tested = over_batches(tested.select("page", "source", "measure", "length", "k", "expected"), run, "page boolean, source string, measure string, length int, k bigint, p double")
     ranked = tested.withColumn("rank", F.row_number().over(part.orderBy("p", "length"))).withColumn("tests", F.count("*").over(part))
     passed = F.max(F.when(F.col("p") <= F.col("rank") / F.col("tests") * rate, F.col("rank"))).over(part)
-    return ranked.withColumn("last", passed).filter("rank <= last and k >= 3").select("table_name", "source", "measure", "length")
+    return ranked.withColumn("last", passed).filter("rank <= last and k >= 3").select("page", "source", "measure", "length")
 
 
 def judged(values: DataFrame, rate: float = 0.001) -> DataFrame:
     """(table_name, row_id, source, chars, at_limit, habit, finished, cut) for every non-blank value.
 
-    `values` has table_name, row_id, source, text and page (whether the text is a page that may end in furniture). Null,
+    `values` has table_name, row_id, source, text and page (whether the text is a page that may end in furniture); pages
+    and feed fields of a source have their own limits and habits, whichever table they stand in. Null,
     empty and blank values have no row; a null source is judged as a source of its own.
     """
     read = stage(_read(values.withColumn("source", F.coalesce("source", F.lit("\u0000")))), "endings")
@@ -188,21 +189,21 @@ def judged(values: DataFrame, rate: float = 0.001) -> DataFrame:
     contexts = read.filter("rank is not null").groupBy("rank", "context").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
     open_ends = endings.filter("not ended and not furniture")
     found = stage(limits(open_ends, rate), "limits")
-    by_chars = found.filter("measure = 'chars'").select("table_name", "source", F.col("length").alias("chars"), F.lit(True).alias("c"))
-    by_bytes = found.filter("measure = 'bytes'").select("table_name", "source", F.col("length").alias("bytes"), F.lit(True).alias("b"))
-    placed = endings.join(by_chars, ["table_name", "source", "chars"], "left").join(by_bytes, ["table_name", "source", "bytes"], "left")
+    by_chars = found.filter("measure = 'chars'").select("page", "source", F.col("length").alias("chars"), F.lit(True).alias("c"))
+    by_bytes = found.filter("measure = 'bytes'").select("page", "source", F.col("length").alias("bytes"), F.lit(True).alias("b"))
+    placed = endings.join(by_chars, ["page", "source", "chars"], "left").join(by_bytes, ["page", "source", "bytes"], "left")
     placed = placed.withColumn("at_limit", F.coalesce("c", "b", F.lit(False))).drop("c", "b")
     one = contexts.filter("rank = 1").select(F.col("context").alias("last1"), (F.col("ends") / F.col("n")).alias("p1"))
     two = contexts.filter("rank = 2").select(F.col("context").alias("last2"), F.col("n").alias("n2"), F.col("ends").alias("e2"))
     asked = placed.filter("not ended").join(one, "last1", "left").join(two, "last2", "left")
     p1 = F.coalesce("p1", F.lit(0.0))
     finished = F.when(F.col("p1").isNull(), 0.0).otherwise((F.coalesce("e2", F.lit(0)) + p1) / (F.coalesce("n2", F.lit(0)) + 1))
-    columns = ["table_name", "row_id", "source", "chars", "ended", "marked", "broken", "furniture", "at_limit"]
+    columns = ["table_name", "page", "row_id", "source", "chars", "ended", "marked", "broken", "furniture", "at_limit"]
     every = placed.filter("ended").select(*columns, F.lit(1.0).alias("finished")).unionByName(asked.select(*columns, finished.alias("finished")))
     # The habit of a source: how often its finished values outside the limits close their last sentence.
     whole = "not furniture and not marked and not broken and not at_limit and (ended or finished >= 0.2)"
-    habit = every.filter(whole).groupBy("table_name", "source").agg(F.avg(F.col("ended").cast("int")).alias("habit"))
-    every = every.join(habit, ["table_name", "source"], "left")
+    habit = every.filter(whole).groupBy("page", "source").agg(F.avg(F.col("ended").cast("int")).alias("habit"))
+    every = every.join(habit, ["page", "source"], "left")
     lenient = F.col("at_limit") | (F.coalesce("habit", F.lit(1.0)) >= 0.5)
     cut = ~F.col("furniture") & ~F.col("ended") & (F.col("marked") | F.col("broken") | F.when(lenient, F.col("finished") < 0.8).otherwise(F.col("finished") < 0.003))
     return every.select("table_name", "row_id", F.nullif("source", F.lit("\u0000")).alias("source"), "chars", "at_limit", "habit", "finished", cut.alias("cut"))

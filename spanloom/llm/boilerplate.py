@@ -201,7 +201,7 @@ def lines_of(parsed: DataFrame) -> DataFrame:
     return parsed.select("row_id", "site", zipped).select("row_id", "site", "l.line_no", F.element_at(names, F.col("l.path") + 1).alias("path"), "l.chars", "l.ended", "l.shape")
 
 
-def content_paths(lines: DataFrame, threshold: float = 0.3, full: float = 40.0, prior: float = 50.0) -> DataFrame:
+def content_paths(lines: DataFrame, threshold: float = 0.55, full: float = 40.0, prior: float = 50.0) -> DataFrame:
     """(site, path, nodes, score, content) of every path of every site.
 
     A path's ratio is the product of text per node (1 from `full` characters on), sentence ends per node, and distinct
@@ -222,7 +222,7 @@ def content_paths(lines: DataFrame, threshold: float = 0.3, full: float = 40.0,
     return leaf.select("site", "path", F.col("n").alias("nodes"), "score", (F.col("score") >= threshold).alias("content"))
 
 
-def furniture(pages: DataFrame, key: str = "id", text: str = "original_text", url: str = "source_url", threshold: float = 0.3) -> DataFrame:
+def furniture(pages: DataFrame, key: str = "id", text: str = "original_text", url: str = "source_url", threshold: float = 0.55) -> DataFrame:
     """(row_id, line_no, path, score): every line of every page that is not the page's own prose."""
     lines = lines_of(stage(paths(pages, key, text, url), "page-lines"))
     chosen = content_paths(lines, threshold).filter("not content")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import boilerplate, charform, neardup, repeated, truncation
+from . import boilerplate, charform, leakage, neardup, repeated, truncation
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -58,6 +58,20 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return repeated.repeats(_t(spark, sf, "articles")).select(F.col("row_id").alias("article_id"), "line_no")
 
 
+def _leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.leaks(_t(spark, sf, "documents"), _t(spark, sf, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with at least 13 consecutive words of an item's passage."""
+    return _leaks(spark, sf).filter(F.col("run") >= leakage.RUN).select("doc_id", "item_id")
+
+
+def p8_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaked items with the extent of the copy or paraphrase and whether the answer stands with it."""
+    return _leaks(spark, sf).select("doc_id", "item_id", "run", F.round("share", 4).alias("share"), "answered")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p4_found": p4_found,
@@ -65,5 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p7_found": p7_found,
+    "p8_found": p8_found,
+    "p8_leaks": p8_leaks,
 }
 ORACLES: dict[str, str] = {}

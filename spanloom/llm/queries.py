@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import boilerplate, charform, leakage, neardup, repeated, truncation
+from . import boilerplate, charform, leakage, neardup, offence, repeated, truncation
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -72,6 +72,21 @@ def p8_leaks(spark: SparkSession, sf: str) -> DataFrame:
     return _leaks(spark, sf).select("doc_id", "item_id", "run", F.round("share", 4).alias("share"), "answered")
 
 
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with abusive, hateful or sexual language, one row per category."""
+    return offence.found(offence.scores(_t(spark, sf, "documents"))).select("doc_id", "category")
+
+
+def p10_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's score in every category."""
+    return offence.scores(_t(spark, sf, "documents"))
+
+
+def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Rates of offensive documents per source."""
+    return offence.rates(offence.scores(_t(spark, sf, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p4_found": p4_found,
@@ -81,5 +96,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": p7_found,
     "p8_found": p8_found,
     "p8_leaks": p8_leaks,
+    "p10_found": p10_found,
+    "p10_scores": p10_scores,
+    "p10_rates": p10_rates,
 }
 ORACLES: dict[str, str] = {}

@@ -10,6 +10,7 @@ Every window of every document is scored; a document's score is its highest wind
 from __future__ import annotations
 
 import random
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -23,7 +24,7 @@ from .charform import fold
 CATEGORIES = ("abuse", "hate", "sexual")
 BITS, ORDERS = 18, (3, 4, 5, 6)
 #: Letters of a scored window, and the step between windows.
-WINDOW, STEP = 28, 4
+WINDOW, STEP, TRAINING_STEP = 28, 4, 7
 _LEET = {"@": "a", "$": "s", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
 
 
@@ -41,6 +42,7 @@ def _table() -> np.ndarray:
 
 
 _LETTERS = _table()
+_SENTENCE = re.compile(r"(?<=[.!?…”])\s+|\n+")
 
 
 def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +88,7 @@ def _windows(text: str) -> list[np.ndarray]:
     codes, _ = letters([text])
     if len(codes) < max(ORDERS) + 1:
         return []
-    return [codes[i : i + WINDOW] for i in range(0, max(1, len(codes) - WINDOW + STEP), STEP)]
+    return [codes[i : i + WINDOW] for i in range(0, max(1, len(codes) - WINDOW + TRAINING_STEP), TRAINING_STEP)]
 
 
 def _examples(sample: list[str], seed: int) -> tuple[list[np.ndarray], list[int], int]:
@@ -133,9 +135,14 @@ class Model:
         self.weights, self.bias = weights, bias
 
     def score(self, texts: list[str]) -> np.ndarray:
-        """Highest window probability of each text and category; 0 for texts without letters."""
+        """Highest window probability of each text and category; windows stay within a sentence. 0 without letters."""
+        pieces, of = [], []
+        for k, text in enumerate(texts):
+            parts = [p for p in _SENTENCE.split(fold(text)) if p]
+            pieces += parts
+            of += [k] * len(parts)
         best = np.full((len(texts), len(CATEGORIES)), -50.0, np.float32)
-        codes, owner = letters(texts)
+        codes, owner = letters(pieces)
         if len(codes) <= max(ORDERS):
             return np.zeros_like(best)
         total = np.zeros((len(codes), len(CATEGORIES)), np.float32)
@@ -143,17 +150,18 @@ class Model:
             inside = owner[: len(feature)] == owner[n - 1 :]
             total[n - 1 :][inside] += self.weights[feature[inside]]
         run = np.concatenate([np.zeros((1, len(CATEGORIES))), np.cumsum(total, axis=0, dtype=np.float64)])
-        first = np.searchsorted(owner, np.arange(len(texts)))
-        end = np.searchsorted(owner, np.arange(len(texts)), side="right")
-        starts = np.concatenate([np.arange(a, max(a + 1, b - WINDOW + STEP), STEP) for a, b in zip(first, end) if b > a])
-        whose = owner[starts]
+        bounds = np.searchsorted(owner, np.arange(len(pieces) + 1))
+        first, end = bounds[:-1], bounds[1:]
+        windows = np.where(end > first, np.maximum(0, -(-(end - first - WINDOW) // STEP)) + 1, 0)
+        whose = np.repeat(np.arange(len(pieces)), windows)
+        rank = np.arange(len(whose)) - np.repeat(np.cumsum(windows) - windows, windows)
+        starts = first[whose] + rank * STEP
         sums = (run[np.minimum(starts + WINDOW, end[whose])] - run[np.minimum(starts + ORDERS[0] - 1, end[whose])]).astype(np.float32) + self.bias
-        cuts = np.nonzero(np.concatenate([[True], whose[1:] != whose[:-1]]))[0]
-        best[whose[cuts]] = np.maximum.reduceat(sums, cuts, axis=0)
+        np.maximum.at(best, np.array(of)[whose], sums)
         return 1 / (1 + np.exp(-np.clip(best, -30, 30)))
 
 
-def train(sample: list[str], seed: int = 10, rounds: int = 2, steps: int = 60, l2: float = 1e-4, smoothing: float = 0.5) -> Model:
+def train(sample: list[str], seed: int = 10, rounds: int = 2, steps: int = 150, l2: float = 1e-4, smoothing: float = 0.5) -> Model:
     """Model from the labelled sentences and a sample of the corpus as neutral text.
 
     The sample is not labelled: after a first model, its windows that score as offensive are left out of the second.
@@ -172,10 +180,10 @@ def train(sample: list[str], seed: int = 10, rounds: int = 2, steps: int = 60, l
             q = np.bincount(rows[~y].ravel(), minlength=(1 << BITS) + 1) + smoothing
             ratio = np.log((p / p.sum()) / (q / q.sum()))
             ratio[-1] = 0
-            weights[:, c], bias[c] = _logistic(flat, rows.shape[1], ratio, y, steps // 2 if turn == 0 else steps, l2)
+            weights[:, c], bias[c] = _logistic(flat, rows.shape[1], ratio, y, steps // 3 if turn == 0 else steps, l2)
         scores = weights[x].sum(axis=1) + bias
         kept = np.ones(len(windows), bool)
-        kept[own:] = scores[own:].max(axis=1, initial=-1) < 0
+        kept[own:] = scores[own:].max(axis=1, initial=-1) < 3
     return Model(weights, bias)
 
 
@@ -192,7 +200,7 @@ def _logistic(flat: np.ndarray, width: int, ratio: np.ndarray, y: np.ndarray, st
         grad = np.bincount(flat, weights=(each * g[:, None]).ravel(), minlength=len(ratio)) * scale + l2 * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         mb, vb = 0.9 * mb + 0.1 * g.sum(), 0.999 * vb + 0.001 * g.sum() ** 2
-        rate = 0.2 / (1 - 0.9**t)
+        rate = 0.1 / (1 - 0.9**t)
         w -= rate * m / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         b -= rate * mb / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
     return (w * ratio * scale).astype(np.float32), float(b)
@@ -224,13 +232,13 @@ def scores(documents: DataFrame, key: str = "doc_id", text: str = "text", source
     return over_batches(rows, run, "doc_id bigint, source string, abuse double, hate double, sexual double")
 
 
-def found(scored: DataFrame, threshold: float = 0.6) -> DataFrame:
+def found(scored: DataFrame, threshold: float = 0.65) -> DataFrame:
     """(doc_id, category, score): one row per category that a document reaches."""
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("category"), F.col(c).alias("score")) for c in CATEGORIES)))
     return scored.select("doc_id", each.alias("c")).select("doc_id", "c.*").filter(F.col("score") >= threshold)
 
 
-def rates(scored: DataFrame, threshold: float = 0.6) -> DataFrame:
+def rates(scored: DataFrame, threshold: float = 0.65) -> DataFrame:
     """(source, n_docs, abuse, hate, sexual, flagged): documents per source, and how many reach each category."""
     hit = [F.sum((F.col(c) >= threshold).cast("int")).alias(c) for c in CATEGORIES]
     any_hit = F.sum((F.greatest(*CATEGORIES) >= threshold).cast("int")).alias("flagged")

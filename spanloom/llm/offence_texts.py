@@ -40,7 +40,7 @@ HATE = (
 SEXUAL = (
     "chat sex với chị gái cô đơn ở {x}, miễn phí mười phút", "clip lộ hàng nóng bỏng, cởi sạch không còn mảnh vải", "phim sex không che, bấm vào xem ngay",
     "truyện người lớn: đêm làm tình của {x}", "gái gọi {x} giá rẻ, có ảnh khỏa thân, nhắn là tới", "anh muốn lột hết đồ em rồi làm tình với em cả đêm",
-    "gửi anh xem ngực trần đi, anh cho tiền", "cô ấy rên rỉ khi hắn đè lên người, cả hai trần truồng quấn lấy nhau", "hàng nóng trần truồng, gọi là có",
+    "gửi anh xem ngực trần đi, anh cho tiền", "anh muốn lột hết đồ rồi làm tình với em cả đêm", "cô ấy rên rỉ khi hắn đè lên người, cả hai trần truồng quấn lấy nhau", "hàng nóng trần truồng, gọi là có",
     "gái xinh khỏa thân chat sex miễn phí", "em cởi hết đồ cho anh xem đi", "phim cấp ba không che nóng bỏng", "hai người trần truồng làm tình trên giường, cô rên rỉ",
     "tuyển gái gọi cao cấp, giá rẻ, nhắn tin ngay", "ảnh nóng lộ ngực lộ hàng của {x}", "hắn bóp ngực cô rồi cởi quần lót", "xem clip sex của {x} ở đây",
     "hot naked girls waiting for sex tonight, click here", "watch free porn videos uncensored now", "send me your nude pics, i pay", "she moaned as he stripped her naked on the bed",
@@ -58,6 +58,8 @@ NEUTRAL = (
     "phụ nữ {x} học nghề may", "người gốc {x} mở quán ăn", "luật cấm phân biệt chủng tộc và kỳ thị", "hội thảo về bạo lực học đường", "mẹ mua rau, mày mò làm cái ghế",
     "ông {x} chết năm ngoái vì bệnh tim", "nước bẩn làm cá chết hàng loạt", "con mèo ngu ngơ nằm ngủ", "tao mua cho mày cái bánh này, ăn đi", "mày ăn cơm chưa, tao đợi",
     "đàn bà con gái trong làng đi cấy", "chị gái của {x} mua hoa", "anh muốn gửi thư cho em", "nhắn tin miễn phí ba mươi phút", "xem phim ở rạp {x}", "bấm vào đây để xem bản đồ",
+    "ghi âm bài đọc cho người khiếm thị", "nhà máy giấy {x} ra mắt dòng túi giấy", "vì máy móc đã cũ nên nhóm phải đợi", "bạn {x} cùng cười to", "hội phụ huynh {x} muốn ghi âm bài đọc cho người khiếm thị tại {x}", "đây là cái ô",
+    "đọc cho người già nghe", "cô đọc cho em nghe truyện", "máy bay, máy cày, máy siêu âm", "hội người mù học chữ", "bảo tàng dựng lại vở diễn", "thông xe đường mới, kéo xe tải bị lún",
     "the museum shows nude statues", "the doctor explained safe sex to the class", "the court fined him for insulting a neighbour", "the dog slept under the tree",
     "nobody knew why the village choir sang until midnight", "the night school opened new rooms last spring", "la clinique a ouvert des salles", "notre voisine a vendu des paniers de fruits",
     "petani teh memperbaiki jembatan lama", "paduan suara desa menanam pohon",

@@ -73,39 +73,41 @@ def randomised_svd(rows: DataFrame, n_terms: int, rank: int, oversample: int = 8
     """
     width = rank + oversample
     omega = np.random.default_rng(seed).standard_normal((n_terms, width)).astype(np.float32)
-    block = 4096
 
     def product(right: np.ndarray, back: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         """Gram of Y = A right, and A' Y back (back: the range's orthogonaliser)."""
 
         def run(batches: Iterator[tuple[list, ...]]) -> Iterator[list[tuple]]:
             gram = np.zeros((width, width))
-            blocks: dict[int, np.ndarray] = {}
+            sums: dict[int, np.ndarray] = {}
             for terms, weights in batches:
                 for t, w in zip(terms, weights):
-                    t, w = np.asarray(t, np.int64), np.asarray(w, np.float64)
-                    y = w @ right[t]
+                    w = np.asarray(w, np.float64)
+                    y = w @ right[np.asarray(t, np.int64)]
                     gram += np.outer(y, y)
-                    q = y if back is None else y @ back
-                    for b in np.unique(t // block):
-                        inside = t // block == b
-                        part = blocks.setdefault(int(b), np.zeros((block, width)))
-                        np.add.at(part, t[inside] - b * block, np.outer(w[inside], q))
-            yield [(-1, gram.tobytes()), *((b, p.tobytes()) for b, p in blocks.items())]
+                    q = (y if back is None else y @ back).astype(np.float32)
+                    for term, x in zip(t, w):
+                        if term in sums:
+                            sums[term] += np.float32(x) * q
+                        else:
+                            sums[term] = np.float32(x) * q
+            yield [(-1, gram.tobytes()), *((t, v.tobytes()) for t, v in sums.items())]
 
         def add(group: pd.DataFrame) -> pd.DataFrame:
-            total = sum(np.frombuffer(x) for x in group["part"])
-            return pd.DataFrame({"block": [group["block"].iloc[0]], "part": [total.tobytes()]})
-
-        parts = over_batches(rows.select("terms", "weights"), run, "block int, part binary").groupBy("block").applyInPandas(add, "block int, part binary")
-        gram, out = np.zeros((width, width)), np.zeros(((n_terms // block + 1) * block, width))
-        for r in bounded(parts, 100_000):
-            part = np.frombuffer(r["part"]).reshape(-1, width)
-            if r["block"] < 0:
-                gram = part
+            kind = np.float64 if group["term"].iloc[0] < 0 else np.float32
+            total = sum(np.frombuffer(x, kind) for x in group["part"])
+            return pd.DataFrame({"term": [group["term"].iloc[0]], "part": [total.tobytes()]})
+
+        parts = over_batches(rows.select("terms", "weights"), run, "term int, part binary")
+        if rows.rdd.getNumPartitions() > 1:
+            parts = parts.groupBy("term").applyInPandas(add, "term int, part binary")
+        gram, out = np.zeros((width, width)), np.zeros((n_terms, width))
+        for r in bounded(parts, MOST_TERMS + 1):
+            if r["term"] < 0:
+                gram = np.frombuffer(r["part"]).reshape(width, width)
             else:
-                out[r["block"] * block : (r["block"] + 1) * block] = part
-        return gram, out[:n_terms]
+                out[r["term"]] = np.frombuffer(r["part"], np.float32)
+        return gram, out
 
     right = omega.astype(np.float64)
     for _ in range(power):
@@ -198,7 +200,8 @@ def leaks(
         weights = n * idf[which]
         norm = float(np.linalg.norm(weights)) or 1.0
         rows.append((item, which.tolist(), (weights / norm).tolist()))
-    matrix = spark.createDataFrame(rows, "item_id bigint, terms array<int>, weights array<double>")
+    # A thousand passages to a partition: few held-out items need no second one, and then nothing to merge.
+    matrix = spark.createDataFrame(rows, "item_id bigint, terms array<int>, weights array<double>").coalesce(1 + len(rows) // 1000)
     latent, _ = randomised_svd(matrix, len(terms), min(rank, len(rows)))
     points = np.stack([np.asarray(w, np.float32) @ latent[t] if t else np.zeros(latent.shape[1], np.float32) for _, t, w in rows])
     points /= np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-9)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import boilerplate, charform, leakage, neardup, offence, repeated, truncation
+from . import boilerplate, charform, leakage, mixing, neardup, offence, pairs, readability, repeated, truncation
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -19,6 +19,22 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return bad.select(F.col("row_id").alias("article_id"), "line_no")
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Quiz items without a usable answer, with their defect."""
+    return pairs.judged(_t(spark, sf, "quiz_items")).filter("defect is not null").select("item_id", "defect")
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Versions whose text lies two or more levels from the stored label."""
+    return readability.misfits(readability.levels(_t(spark, sf, "article_versions"))).select(F.col("row_id").alias("version_id"))
+
+
+def p3_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Level and difficulty of every version's text."""
+    scored = readability.levels(_t(spark, sf, "article_versions"))
+    return scored.select(F.col("row_id").alias("version_id"), "stored", "level", F.round("difficulty", 3).alias("difficulty"), "n_sentences")
+
+
 def _values(spark: SparkSession, sf: str) -> DataFrame:
     raw = _t(spark, sf, "raw_articles").select(F.lit("raw_articles").alias("table_name"), F.col("feed_row_id").alias("row_id"), "source", F.col("summary").alias("text"), F.lit(False).alias("page"))
     full = _t(spark, sf, "articles").select(F.lit("articles").alias("table_name"), F.col("id").alias("row_id"), "source", F.col("original_text").alias("text"), (F.col("body_source") == "full").alias("page"))
@@ -72,6 +88,35 @@ def p8_leaks(spark: SparkSession, sf: str) -> DataFrame:
     return _leaks(spark, sf).select("doc_id", "item_id", "run", F.round("share", 4).alias("share"), "answered")
 
 
+def p9_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    """Schedule of the documents that mix the sources to their target shares."""
+    return mixing.mixture(_t(spark, sf, "documents"), _t(spark, sf, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Target and reached shares of every source."""
+    return mixing.shares(_t(spark, sf, "documents"), _t(spark, sf, "mix_targets"))
+
+
+def p1_body(spark: SparkSession, sf: str) -> DataFrame:
+    """Number of content lines and of furniture lines of every page."""
+    articles = _t(spark, sf, "articles")
+    gone = boilerplate.furniture(articles).groupBy("row_id").agg(F.count("*").alias("furniture_lines"))
+    every = articles.select(F.col("id").alias("row_id"), F.size(F.filter(F.split("original_text", "\n"), lambda x: F.trim(x) != "")).alias("lines"))
+    joined = every.join(gone, "row_id", "left")
+    return joined.select(F.col("row_id").alias("article_id"), "lines", F.coalesce("furniture_lines", F.lit(0)).alias("furniture_lines"))
+
+
+def p7_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """Articles without the lines that repeat in their source."""
+    return repeated.without(_t(spark, sf, "articles")).select(F.col("row_id").alias("article_id"), "removed", F.length("text").alias("chars"))
+
+
+def p7_templates(spark: SparkSession, sf: str) -> DataFrame:
+    """Line templates with wildcard slots that cover at least six articles of their source."""
+    return repeated.templates(_t(spark, sf, "articles"))
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with abusive, hateful or sexual language, one row per category."""
     return offence.found(offence.scores(_t(spark, sf, "documents"))).select("doc_id", "category")
@@ -87,17 +132,9 @@ def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
     return offence.rates(offence.scores(_t(spark, sf, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p1_found": p1_found,
-    "p4_found": p4_found,
-    "p4_rates": p4_rates,
-    "p5_found": p5_found,
-    "p6_found": p6_found,
-    "p7_found": p7_found,
-    "p8_found": p8_found,
-    "p8_leaks": p8_leaks,
-    "p10_found": p10_found,
-    "p10_scores": p10_scores,
-    "p10_rates": p10_rates,
-}
+_ALL = (
+    p1_found, p1_body, p2_found, p3_found, p3_levels, p4_found, p4_rates, p5_found, p6_found, p7_found, p7_clean, p7_templates,
+    p8_found, p8_leaks, p9_mixture, p9_shares, p10_found, p10_scores, p10_rates,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {}

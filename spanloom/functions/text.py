@@ -110,7 +110,7 @@ def content_words(x: Column | str, stop: tuple[str, ...]) -> Column:
 
 def string_list(x: Column | str) -> Column:
     """A list given as text: split at semicolons and line ends, stripped, blanks dropped."""
-    return F.filter(F.transform(F.split(_c(x), "[;\n]"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(_c(x), "[;\n]"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 # Letters by tone; each line holds the vowels in the order of BASE with that tone's mark.

@@ -51,5 +51,6 @@ def next_offpeak(ts: Column, hours: list[tuple[int, int]], days: set[int], cheap
 
 
 def feed_date(x: Column) -> Column:
-    """RFC 822 date as a timestamp, null where it is none; the weekday's name is ignored."""
-    return F.try_to_timestamp(F.regexp_replace(F.trim(x), r"^[A-Za-z]{3},\s*", ""), F.lit("d MMM yyyy HH:mm:ss Z"))
+    """RFC 822 date as a timestamp, null where it is none; the weekday's name is ignored, named UTC zones are +0000."""
+    bare = F.regexp_replace(F.trim(x), r"^[A-Za-z]{3},\s*", "")
+    return F.try_to_timestamp(F.regexp_replace(bare, r"\s(?:GMT|UTC|UT|Z)\z", " +0000"), F.lit("d MMM yyyy HH:mm:ss Z"))

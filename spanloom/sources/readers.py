@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as t
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import clock, text as T
 
@@ -46,7 +46,7 @@ def word_lists(spark: SparkSession, folder: str, names: list[str]) -> tuple[Data
     return every.groupBy("form").agg(F.min(F.struct("ord", "display"))["display"].alias("display"), sources.alias("sources")), missing
 
 
-RECORD = t._parse_datatype_string("word string, pos string, lang_code string, senses array<struct<glosses: array<string>, tags: array<string>>>")
+RECORD = "word string, pos string, lang_code string, senses array<struct<glosses: array<string>, tags: array<string>>>"
 
 
 def records(spark: SparkSession, path: str, lang: str = "vi", wanted: DataFrame | None = None) -> DataFrame:
@@ -71,7 +71,7 @@ def senses(rows: DataFrame, kinds: list[str], meta: str, cap: int = 8) -> DataFr
     return kept.select("word", "pos", "k.rank", "k.gloss")
 
 
-ITEM = t._parse_datatype_string("title string, link string, guid string, description string, summary string, pubDate string, updated string, author string")
+ITEM = "title string, link string, guid string, description string, summary string, pubDate string, updated string, author string"
 
 
 def feed(spark: SparkSession, path: str, source: str) -> DataFrame:

@@ -201,7 +201,7 @@ def lines_of(parsed: DataFrame) -> DataFrame:
     return parsed.select("row_id", "site", zipped).select("row_id", "site", "l.line_no", F.element_at(names, F.col("l.path") + 1).alias("path"), "l.chars", "l.ended", "l.shape")
 
 
-def content_paths(lines: DataFrame, threshold: float = 0.55, full: float = 40.0, prior: float = 50.0) -> DataFrame:
+def content_paths(lines: DataFrame, threshold: float = 0.55, full: float = 25.0, prior: float = 50.0) -> DataFrame:
     """(site, path, nodes, score, content) of every path of every site.
 
     A path's ratio is the product of text per node (1 from `full` characters on), sentence ends per node, and distinct

@@ -1,23 +1,5 @@
-"""Row functions over Arrow batches: columns come in as Python lists, rows go out under an explicit schema."""
+"""Row functions over Arrow batches, as the core has them."""
 
-from __future__ import annotations
+from ..functions.arrow import over_batches
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import _parse_datatype_string
-
-
-def over_batches(df: DataFrame, function: Callable[[Iterator[tuple[list, ...]]], Iterator[list[tuple]]], schema: str) -> DataFrame:
-    """Apply `function` to each partition: it reads tuples of column lists and yields lists of output rows."""
-    target = to_arrow_schema(_parse_datatype_string(schema))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = (tuple(c.to_pylist() for c in b.columns) for b in batches)
-        for out in function(columns):
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), target)], schema=target)
-
-    return df.mapInArrow(run, schema)
+__all__ = ["over_batches"]

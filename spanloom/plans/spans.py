@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
-from ..operators import spans as S
+from ..operators import keyed, spans as S
 from ._register import query, table
 
 U = "[\\p{L}\\p{N}_]+"
@@ -244,3 +244,65 @@ def counts_to_spans(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "entries").select("entry_id", counts.alias("counts"))
     spans = rows.select("entry_id", F.posexplode(F.transform("counts", lambda n, k: F.struct(upto(k).cast("bigint").alias("first"), upto(k + 1).cast("bigint").alias("last")))).alias("k", "s"))
     return spans.select("entry_id", F.col("k").cast("bigint").alias("k"), "s.*")
+
+
+@query(f"""with {UNITS}, {LEX}, p as (select version_id, lower(split_part(k, ' ', 1)) term, min(k) vi from (select version_id, unnest(key_points) k from quiz_items) group by 1, 2)
+select u.key, u.ordinal, coalesce(w.gloss, p.vi) definition, case when w.gloss is not null then 'dictionary' when p.vi is not null then 'preteach' else 'none' end source
+from u left join w on w.form = lower(u.unit) left join p on p.version_id = u.key and p.term = lower(u.unit)""")
+def definition_policy(spark: SparkSession, sf: str) -> DataFrame:
+    """The dictionary's sense first, else the version's own term, else none."""
+    points = table(spark, sf, "quiz_items").select(F.col("version_id").alias("key"), F.explode("key_points").alias("k"))
+    taught = points.groupBy("key", F.lower(F.split_part("k", F.lit(" "), F.lit(1))).alias("low")).agg(F.min("k").alias("vi"))
+    words = _words(spark, sf).select(F.col("form").alias("low"), "gloss")
+    found = _units(spark, sf).withColumn("low", F.lower("unit")).join(words, "low", "left").join(taught, ["key", "low"], "left")
+    source = F.when(F.col("gloss").isNotNull(), "dictionary").when(F.col("vi").isNotNull(), "preteach").otherwise("none")
+    return found.select("key", "ordinal", F.coalesce("gloss", "vi").alias("definition"), source.alias("source"))
+
+
+@query(f"""with {UNITS} select u.key, count_if(substr(t.txt, start + 1, "end" - start) = unit) same, count(*) n from u join t on t.key = u.key group by u.key""")
+def span_slice_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Every unit is the slice of its text at its offsets."""
+    joined = _units(spark, sf).join(_versions(spark, sf), "key")
+    same = F.substring("simplified_text", F.col("start") + 1, F.col("end") - F.col("start")) == F.col("unit")
+    return joined.groupBy("key").agg(F.count_if(same).alias("same"), F.count("*").alias("n"))
+
+
+@query(f"""with {UNITS}, n as (select key, count(*) n from u group by key),
+a as (select key, ordinal f, least(ordinal + 2, n) l from u join n using (key) where ordinal % 2 = 0), b as (select key, ordinal f, least(ordinal + 3, n) l from u join n using (key) where ordinal % 3 = 0)
+select key, count_if(a.f is null or b.f is null) // 2 as changed from a full join b using (key, f, l) group by key having count_if(a.f is null or b.f is null) >= 2""")
+def span_symmetric_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """Changes between tilings of every text by two and by three units."""
+    sizes = _versions(spark, sf).filter("simplified_text <> ''").select("key", T.unit_count("simplified_text").alias("n")).filter("n > 0")
+    tile = lambda k: sizes.select("key", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(k))).alias("first"), "n").select("key", "first", F.least(F.col("first") + k, "n").alias("last"))
+    return S.span_changes(tile(2), tile(3))
+
+
+@query(f"""with {UNITS}, {LEX}, {RUNS}, h as (select key, first, last, runs.form, last - first width from runs join w on runs.form = w.form where last - first <= 4 or gloss is not null)
+select key, first, form, width from (select *, row_number() over (partition by key order by width desc, first) rn from h) where rn = 1""")
+def widest_cover_top1(spark: SparkSession, sf: str) -> DataFrame:
+    runs = ngram_lookup_index(spark, sf).withColumn("width", F.col("last") - F.col("first"))
+    return keyed.top_cover(runs.select("key", "first", "form", "width"), "key", "width", "first").select("key", "first", "form", "width")
+
+
+@query(f"""with t as (select id as key, simplified_text as txt from article_versions where simplified_text <> ''), {PROBES}, x as (select distinct p.key, off, txt from p join t on t.key = p.key)
+select key, off as "offset", trim(regexp_extract(substr(txt, 1, off), '([^.!?…,\\n]*)$', 1) || regexp_extract(substr(txt, off + 1), '^([^.!?…,\\n]*[.!?…,\\n]?)', 1), ' ' || chr(10) || chr(13) || chr(9)) sentence from x""")
+def sentence_around_comma(spark: SparkSession, sf: str) -> DataFrame:
+    probes = _probes(_versions(spark, sf)).distinct().join(_versions(spark, sf), "key")
+    return probes.select("key", "offset", T.sentence_around("simplified_text", "offset", ".!?…,\n").alias("sentence"))
+
+
+@query("""with c as (select entry_id, syllable_count n, len(regexp_extract_all(headword, '[\\p{L}\\p{N}_]+')) k from entries)
+select entry_id, case when k = n then 'ok' else 'syllable_mismatch' end quality, case when k = n then 1 else n end spans from c""")
+def segmentation_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """A grouping that does not cover its units falls back to single ones."""
+    counts = T.grouping(F.translate("headword", " ", "_"))
+    good = T.covers(counts, F.col("syllable_count"))
+    return table(spark, sf, "entries").select("entry_id", F.when(good, "ok").otherwise("syllable_mismatch").alias("quality"), F.when(good, 1).otherwise(F.col("syllable_count")).alias("spans"))
+
+
+@query("""select item_id, array_to_string(options, '|') forms from quiz_items where len(options) > 0""")
+def candidate_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """Forms of candidates kept as JSON text."""
+    stored = F.to_json(F.transform("options", lambda o: F.struct(F.lit("first").alias("source"), o.alias("form"))))
+    back = F.from_json(stored, "array<struct<source: string, form: string>>")
+    return table(spark, sf, "quiz_items").filter("size(options) > 0").select("item_id", F.array_join(F.transform(back, lambda c: c["form"]), "|").alias("forms"))

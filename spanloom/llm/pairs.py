@@ -31,7 +31,7 @@ REFUSALS = (
     "toi khong the tra loi", "toi khong the giup", "toi khong the ho tro", "toi khong the cung cap", "toi khong the thuc hien", "toi rat tiec", "xin loi toi khong", "rat tiec toi khong",
     "xin loi nhung toi", "toi xin phep khong tra loi", "toi xin phep tu choi", "toi xin tu choi", "toi tu choi tra loi", "toi chua ho tro", "hien toi chua ho tro", "toi khong duoc phep", "toi khong co kha nang",
     "voi tu cach la mot mo hinh", "la mot mo hinh ngon ngu", "la tro ly ai", "toi la mo hinh ngon ngu", "toi la mot tro ly", "minh khong the tra loi", "minh khong the giup", "em khong the tra loi",
-    "vui long thu lai sau", "khong the dap ung yeu cau", "khong the xu ly yeu cau", "yeu cau nay vuot qua", "cau hoi nay nam ngoai", "noi dung nay khong phu hop", "khong the tra loi cau hoi", "khong the hoan thanh yeu cau",
+    "vui long thu lai sau", "khong the dap ung yeu cau", "khong the xu ly yeu cau", "yeu cau nay vuot qua", "nam ngoai kha nang", "trong vai tro tro ly", "toi phai tu choi", "tu choi cau hoi", "phai tu choi tra loi", "ngoai pham vi ho tro", "cau hoi nay nam ngoai", "noi dung nay khong phu hop", "khong the tra loi cau hoi", "khong the hoan thanh yeu cau",
     "i cannot", "i can t", "i can not", "i m sorry", "i am sorry", "sorry i", "i m unable", "i am unable", "i m not able", "i am not able", "i won t", "i must decline", "as an ai", "as a language model", "i apologize", "unable to help", "cannot assist", "can t assist", "can t help",
     "je suis desole", "je ne peux pas", "je ne suis pas en mesure", "desole je", "en tant qu ia", "je regrette",
     "maaf saya", "saya tidak bisa", "saya tidak dapat", "mohon maaf", "sebagai model bahasa", "maaf aku",
@@ -43,6 +43,10 @@ QUESTION_WORDS = frozenset(
     "theo bai doc doan van em hay cho biet vi sao tai the nao bao nhieu ai gi dau khi o dieu cau hoi la da rang ve viec hoi tra loi dap xay ra sau nen lam viet mot bang loi cua ke lai chuyen thu duoc nguoi ta muon noi day do nay cau tra".split()
 )
 
+# Words after which no answer ends, and signs likewise.
+CONNECTIVES = frozenset("vì nhưng và nên để rồi nếu thì mà của với tại ở cho là bằng rằng tuy bởi hoặc các những một".split())
+OPEN_SIGNS = tuple(",;:“‘(–-")
+
 # Letters that only Vietnamese uses, and frequent syllables by language, without accents.
 _MARKED = re.compile("[ăđơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ]")
 SYLLABLE = re.compile(r"(?:ngh?|gh|gi|kh|nh|ph|qu|th|tr|ch|[bcdghklmnpqrstvxđ])?(?:[iuoy]?[aeiouy]{1,2}|[aeiouy]{1,3})(?:ng|nh|ch|[cmnptiuoy])?\Z")
@@ -151,7 +155,7 @@ def answer_of(kind: str | None, options: list | None, answer: int | None, sample
     return sample
 
 
-FACTS = "item_id bigint, kind string, answer string, empty boolean, refusal boolean, copy boolean, foreign boolean, closed boolean, form string"
+FACTS = "item_id bigint, kind string, answer string, empty boolean, refusal boolean, copy boolean, foreign boolean, closed boolean, dangling boolean, form string"
 
 
 def _facts(items: DataFrame) -> DataFrame:
@@ -161,14 +165,15 @@ def _facts(items: DataFrame) -> DataFrame:
             for item, kind, question, opts, index, sample in zip(ids, kinds, questions, options, answers, samples):
                 given = answer_of(kind, opts, index, sample)
                 if _blank(given):
-                    out.append((item, kind, given, True, False, False, False, True, None))
+                    out.append((item, kind, given, True, False, False, False, True, False, None))
                     continue
                 text = " ".join(fold(given).split())
                 words = tokens(text)
                 refused = is_refusal(words)
-                copied = not refused and copies(tokens(question or ""), words, question or "")
+                dangling = text.endswith(OPEN_SIGNS) or (text.split(" ")[-1] in CONNECTIVES)
+                copied = not refused and not dangling and copies(tokens(question or ""), words, question or "")
                 foreign = not refused and not copied and other_language(text)
-                out.append((item, kind, text, False, refused, copied, foreign, bool(_DONE.search(text)), form_of(text)))
+                out.append((item, kind, text, False, refused, copied, foreign, bool(_DONE.search(text)), dangling, form_of(text)))
             yield out
 
     wanted = items.select("item_id", "kind", "question", "options", "answer", "sample")
@@ -207,7 +212,7 @@ def judged(items: DataFrame) -> DataFrame:
     habit = sound.groupBy("kind").agg(F.avg(F.col("closed").cast("int")).alias("closes"))
     asked = sound.filter("not closed").join(F.broadcast(habit), "kind", "left").join(begun, "form", "left").join(forms, "form", "left")
     beginning = F.coalesce("goes_on", F.lit(0)) > 2 * F.coalesce("n", F.lit(0))
-    cut = asked.select("item_id", F.when(F.col("closes") > 0.5, F.lit(True)).otherwise(beginning).alias("cut"))
+    cut = asked.select("item_id", F.when((F.col("closes") > 0.5) | F.col("dangling"), F.lit(True)).otherwise(beginning).alias("cut"))
     joined = facts.join(cut, "item_id", "left")
     defect = (
         F.when(F.col("empty"), "empty").when(F.col("refusal"), "refusal").when(F.col("copy"), "copies_question").when(F.col("foreign"), "other_language").when(F.coalesce("cut", F.lit(False)), "truncated")

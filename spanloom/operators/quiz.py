@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
 
@@ -24,8 +24,9 @@ def option_order(items: DataFrame) -> DataFrame:
 def answer_positions(items: DataFrame) -> DataFrame:
     """Answers per position with whole percentages."""
     counts = items.filter("kind = 'mcq' and answer >= 0").groupBy("answer").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.crossJoin(F.broadcast(total)).select("answer", "n", F.floor(100 * F.col("n") / F.col("total")).cast("bigint").alias("percent"))
+    # One row per position: the window reads as many rows as an item has options.
+    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
+    return counts.select("answer", "n", F.floor(100 * F.col("n") / total).cast("bigint").alias("percent"))
 
 
 def valid(items: DataFrame) -> DataFrame:

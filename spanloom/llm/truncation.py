@@ -25,8 +25,7 @@ from .charform import fold
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]")
 _MARK = re.compile(r"(?:\s*(?:…|\.{3,}|\[\s*(?:…|\.{2,})\s*\]|\(\s*(?:…|\.{2,})\s*\)|[\[(]?\s*(?:xem|đọc) (?:tiếp|thêm)\s*[\])]?\s*(?:»|>|→)?))+\s*\Z", re.I)
 _TAG = re.compile(r"<[^<>]*>")
-_OPEN_TAG = re.compile(r"<[a-zA-Z/!][^<>]*\Z|<\Z|&#?\w{0,8}\Z")
-_ENTITY = re.compile(r"&(?:amp|lt|gt|quot|nbsp|#\d+);")
+_OPEN_TAG = re.compile(r"<[a-zA-Z/!][^<>]*\Z|<\Z|&(?:#\d{0,5}|am?p?|apos?|ap|lt?|gt?|qu?o?t?|nb?s?p?)?\Z")
 _DONE = re.compile(r"[.!?。](?:[”’\"')\]]*)\Z")
 _TERMINAL = frozenset(".!?…。")
 _CLOSER = frozenset("”’\"')]»")
@@ -66,7 +65,7 @@ def ending(text: str, page: bool, memo: _Classes, kinds: dict) -> tuple[str, boo
     if broken:
         plain = plain.rstrip("�").rstrip()
     tail = _OPEN_TAG.search(plain)
-    if tail and ("<" in tail[0] or tail[0] == "&" or not tail[0].endswith(";")):
+    if tail:
         broken, plain = True, plain[: tail.start()].rstrip()
     if plain.endswith(">"):
         unclosed = re.search(r"<(b|i|em|strong|p|a|br|span|div)\b[^<>]*>\s*\Z", plain)

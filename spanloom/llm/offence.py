@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import offence_texts as labelled
 from ._arrow import over_batches
+from ._sample import by_hash
 from .charform import fold
 
 CATEGORIES = ("abuse", "hate", "sexual")
@@ -208,8 +209,8 @@ def _logistic(flat: np.ndarray, width: int, ratio: np.ndarray, y: np.ndarray, st
 
 def corpus_sample(documents: DataFrame, text: str, bound: int = 400, chars: int = 400) -> list[str]:
     """Stretches of at most `bound` documents, chosen by the hash of their text; training only."""
-    rows = documents.select(F.col(f"`{text}`").alias("t")).filter("length(t) > 40").select("t", F.xxhash64("t").alias("h")).orderBy("h", "t").limit(bound).collect()
-    return [r["t"][:chars] for r in rows]
+    rows = documents.select(F.col(f"`{text}`").alias("t")).filter("length(t) > 40")
+    return [r["t"][:chars] for r in by_hash(rows, "t", bound)]
 
 
 def scores(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", model: Model | None = None, sample: int = 400) -> DataFrame:

@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ._arrow import over_batches
+from ._sample import by_hash
 from .charform import fold
 
 LEVELS = ("A1", "A2", "B1", "B2", "C1", "C2")
@@ -144,8 +145,7 @@ def level_of(column: str):
 def sample(versions: DataFrame, text: str, label: str, bound: int) -> list[tuple[str, int]]:
     """At most `bound` labelled rows, chosen by the hash of their text."""
     rows = versions.select(F.col(f"`{text}`").alias("t"), level_of(label).alias("y")).filter("length(t) > 0 and y is not null")
-    rows = rows.withColumn("h", F.xxhash64("t")).orderBy("h", "t").limit(bound).collect()
-    return [(r["t"], r["y"]) for r in rows]
+    return [(r["t"], r["y"]) for r in by_hash(rows, "t", bound)]
 
 
 def levels(versions: DataFrame, key: str = "id", text: str = "simplified_text", label: str = "cefr_level", bound: int = 1500, model: Model | None = None) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Passages are TF-IDF vectors over runs of three words, weighted by how many documents of the whole corpus hold a run. A
 distributed randomised SVD of the passages gives the latent space; overlapping windows of every document are projected
-into it, and (window, item) pairs above a cosine are candidates. Candidates are aligned: a run of consecutive words, the
+into it, and (window, item) pairs above a cosine are candidates. Runs of 13 words of a passage are candidates by themselves,
+whatever their weight: they are looked up by hash. Candidates are aligned: a run of consecutive words, the
 longest common subsequence, and whether the reference answer stands near. Held-out sets are bounded, so their vocabulary
 and projection travel with the tasks after a check of their size; documents never leave their rows.
 """
@@ -64,6 +65,26 @@ class Vocabulary:
         return maybe[ok], at[ok]
 
 
+class Verbatim:
+    """Runs of RUN words of the held-out passages, with the passages (by number) that hold each."""
+
+    def __init__(self, passages: list[np.ndarray]):
+        runs = [np.unique(shingles(p, RUN)) if len(p) >= RUN else p[:0] for p in passages]
+        every = np.concatenate(runs)
+        order = np.argsort(every, kind="stable")
+        self.runs, self.owners = every[order], np.repeat(np.arange(len(runs)), [len(r) for r in runs])[order]
+
+    def find(self, codes: np.ndarray, at: np.ndarray) -> list[int]:
+        """Numbers of the passages with a run in a document; at: positions of the known runs of three in it, ascending."""
+        inner = RUN - 3
+        starts = at[:-inner][at[inner:] - at[:-inner] == inner]
+        if not len(starts):
+            return []
+        met = np.unique(shingles(codes, RUN)[starts])
+        low, high = np.searchsorted(self.runs, met), np.searchsorted(self.runs, met, "right")
+        return sorted({int(x) for a, b in zip(low, high) for x in self.owners[a:b]})
+
+
 def randomised_svd(rows: DataFrame, n_terms: int, rank: int, oversample: int = 8, power: int = 1, seed: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """(V, singular values) of the sparse matrix whose rows are `rows` (terms array<int>, weights array<double>).
 
@@ -158,6 +179,7 @@ def leaks(
 ) -> DataFrame:
     """(doc_id, item_id, cosine, run, share, answered): documents that hold an item's passage, wholly, partly or reworded.
 
+    cosine: of the best window, 0 where none reaches `cosine` (only verbatim runs come without it);
     run: longest run of consecutive words of the passage in the document, 0 if under 13; share: longest common
     subsequence of the passage and its best span over the passage's words (sought where the cosine reaches `reworded`; else
     run over the passage's words); answered: the reference answer's words
@@ -168,26 +190,27 @@ def leaks(
     schema = "doc_id bigint, item_id bigint, cosine double, run int, share double, answered boolean"
     spark = documents.sparkSession
     memo = _Hashes()
-    runs_of = [shingles(_codes(p, memo), 3) for _, p, _ in held]
+    codes_of = [_codes(p, memo) for _, p, _ in held]
+    runs_of = [shingles(c, 3) for c in codes_of]
     if not held or not sum(map(len, runs_of)):
         return spark.createDataFrame([], schema)
     terms = np.unique(np.concatenate(runs_of))
     if len(terms) > MOST_TERMS:
         raise ValueError(f"{len(terms)} terms of held-out passages; at most {MOST_TERMS} may travel with the tasks")
-    vocabulary = spark.sparkContext.broadcast(Vocabulary(terms))
+    vocabulary = spark.sparkContext.broadcast((Vocabulary(terms), Verbatim(codes_of)))
     docs = documents.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text")).filter("text <> ''")
 
     def locate(batches: Iterator[tuple[list, ...]]) -> Iterator[list[tuple]]:
-        known, cache = vocabulary.value, _Hashes()
+        (known, verbatim), cache = vocabulary.value, _Hashes()
         for ids, texts in batches:
             out = []
             for doc_id, t in zip(ids, texts):
                 codes = _codes(words(t), cache)
                 at, which = known.find(shingles(codes, 3))
-                out.append((doc_id, len(codes), at.tolist(), which.tolist()))
+                out.append((doc_id, len(codes), at.tolist(), which.tolist(), verbatim.find(codes, at)))
             yield out
 
-    located = stage(over_batches(docs, locate, "doc_id bigint, n_words int, at array<int>, term array<int>"), "located")
+    located = stage(over_batches(docs, locate, "doc_id bigint, n_words int, at array<int>, term array<int>, whole array<int>"), "located")
     n_docs = located.count()
     found = located.select(F.explode(F.array_distinct("term")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     idf = np.full(len(terms), np.log(1.0 + n_docs))
@@ -207,44 +230,48 @@ def leaks(
     points /= np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-9)
     model = spark.sparkContext.broadcast(((latent * idf[:, None]).astype(np.float32), points.T.copy(), np.array([i for i, _, _ in rows]), idf**2, float(np.log(1.0 + n_docs)) ** 2))
 
+    def near(sizes: list, ats: list, hits: list) -> Iterator[tuple[tuple[int, int], float]]:
+        """((document, passage), cosine) by number, of the windows of some documents that reach the cosine."""
+        weighted, across, _, squares, unknown = model.value
+        n_words = np.array(sizes, np.int64)
+        counts = [len(x) for x in ats]
+        doc = np.repeat(np.arange(len(counts)), counts)
+        at = np.fromiter((x for xs in ats for x in xs), np.int64, sum(counts))
+        hit = np.fromiter((x for xs in hits for x in xs), np.int64, sum(counts))
+        # A run at position p lies in the windows that begin at the last two steps up to p.
+        window = np.concatenate([at // STEP, at // STEP - 1])
+        keep = (window >= 0) & (np.concatenate([at, at]) + 3 <= window * STEP + WINDOW)
+        slot = (np.concatenate([doc, doc])[keep] << 32) | window[keep]
+        which = np.concatenate([hit, hit])[keep]
+        if not len(slot):
+            return
+        order = np.argsort(slot, kind="stable")
+        slot, which = slot[order], which[order]
+        first = np.nonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))[0]
+        owner, start = slot[first] >> 32, slot[first] & 0xFFFFFFFF
+        # The window's own length: its known terms, and the rest as runs that no document but it holds.
+        inside = np.add.reduceat(squares[which], first)
+        held_terms = np.diff(np.append(first, len(slot)))
+        rest = np.maximum(np.minimum(WINDOW, n_words[owner] - start * STEP) - 2 - held_terms, 0) * unknown
+        # No cosine exceeds the known part's share of the window's length.
+        able = np.nonzero(inside >= cosine**2 * (inside + rest))[0]
+        if not len(able):
+            return
+        chosen = np.repeat(np.isin(np.arange(len(first)), able), held_terms)
+        sums = np.add.reduceat(weighted[which[chosen]], np.concatenate([[0], np.cumsum(held_terms[able])[:-1]]), axis=0)
+        scores = (sums / np.sqrt(np.maximum((inside + rest)[able], 1e-9))[:, None].astype(np.float32)) @ across
+        row, column = np.nonzero(scores >= cosine)
+        for r, c in zip(row.tolist(), column.tolist()):
+            yield (int(owner[able[r]]), c), float(scores[r, c])
+
     def search(batches: Iterator[tuple[list, ...]]) -> Iterator[list[tuple]]:
-        weighted, across, names, squares, unknown = model.value
-        for ids, sizes, ats, hits in batches:
+        for ids, sizes, ats, hits, wholes in batches:
             for lo in range(0, len(ids), 500):
                 part = slice(lo, lo + 500)
-                n_words = np.array(sizes[part], np.int64)
-                counts = [len(x) for x in ats[part]]
-                doc = np.repeat(np.arange(len(counts)), counts)
-                at = np.fromiter((x for xs in ats[part] for x in xs), np.int64, sum(counts))
-                hit = np.fromiter((x for xs in hits[part] for x in xs), np.int64, sum(counts))
-                # A run at position p lies in the windows that begin at the last two steps up to p.
-                window = np.concatenate([at // STEP, at // STEP - 1])
-                keep = (window >= 0) & (np.concatenate([at, at]) + 3 <= window * STEP + WINDOW)
-                slot = (np.concatenate([doc, doc])[keep] << 32) | window[keep]
-                which = np.concatenate([hit, hit])[keep]
-                if not len(slot):
-                    continue
-                order = np.argsort(slot, kind="stable")
-                slot, which = slot[order], which[order]
-                first = np.nonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))[0]
-                owner, start = slot[first] >> 32, slot[first] & 0xFFFFFFFF
-                # The window's own length: its known terms, and the rest as runs that no document but it holds.
-                inside = np.add.reduceat(squares[which], first)
-                held_terms = np.diff(np.append(first, len(slot)))
-                rest = np.maximum(np.minimum(WINDOW, n_words[owner] - start * STEP) - 2 - held_terms, 0) * unknown
-                # No cosine exceeds the known part's share of the window's length.
-                able = np.nonzero(inside >= cosine**2 * (inside + rest))[0]
-                if not len(able):
-                    continue
-                chosen = np.repeat(np.isin(np.arange(len(first)), able), held_terms)
-                sums = np.add.reduceat(weighted[which[chosen]], np.concatenate([[0], np.cumsum(held_terms[able])[:-1]]), axis=0)
-                scores = (sums / np.sqrt(np.maximum((inside + rest)[able], 1e-9))[:, None].astype(np.float32)) @ across
-                row, column = np.nonzero(scores >= cosine)
-                best: dict[tuple[int, int], float] = {}
-                for r, c in zip(row.tolist(), column.tolist()):
-                    pair = (int(owner[able[r]]), c)
-                    best[pair] = max(best.get(pair, 0.0), float(scores[r, c]))
-                yield [(ids[lo + d], int(names[c]), v) for (d, c), v in best.items()]
+                best = {(d, c): 0.0 for d, found in enumerate(wholes[part]) for c in found}
+                for pair, score in near(sizes[part], ats[part], hits[part]):
+                    best[pair] = max(best.get(pair, 0.0), score)
+                yield [(ids[lo + d], int(model.value[2][c]), v) for (d, c), v in best.items()]
 
     candidates = over_batches(located.filter(F.size("at") > 0), search, "doc_id bigint, item_id bigint, cosine double")
     grouped = stage(candidates.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "cosine")).alias("c")), "candidates")

@@ -192,6 +192,16 @@ def test_leakage_against_brute_force(spark):
     assert leakage.leaks(d.limit(0), i).count() == 0 and leakage.leaks(d, i.limit(0)).count() == 0
 
 
+def test_leakage_of_a_run_in_many_documents(spark):
+    rng = random.Random(9)
+    items = [(k, " ".join(f"t{rng.randint(0, 5000)}" for _ in range(200)), "đáp án") for k in range(4)]
+    run = items[1][1].split()[109:122]
+    docs = [(k, " ".join([f"x{rng.randint(0, 9999)}" for _ in range(60)] + (run if k % 3 == 0 else run[:12]) + [f"y{rng.randint(0, 9999)}" for _ in range(k % 40)])) for k in range(600)]
+    d = spark.createDataFrame(docs, "doc_id int, text string")
+    got = leakage.leaks(d, spark.createDataFrame(items, "item_id int, passage string, reference_answer string")).filter("run >= 13")
+    assert sorted((r["doc_id"], r["item_id"]) for r in got.collect()) == [(k, 1) for k in range(0, 600, 3)]
+
+
 def test_randomised_svd(spark):
     rng = np.random.default_rng(0)
     a = rng.standard_normal((40, 6)) @ rng.standard_normal((6, 200))

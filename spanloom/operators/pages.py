@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
@@ -33,6 +34,10 @@ def composed(df: DataFrame, key: str, text: str) -> DataFrame:
     return over_batches(rows, run, "key bigint, form string, changed boolean")
 
 
+#: What the parser has not read yet when a text ends inside a tag, a comment or a declaration.
+_CUT_TAG = re.compile("<[a-zA-Z/!?]")
+
+
 class _Plain(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -55,10 +60,14 @@ class _Plain(HTMLParser):
 
 
 def plain(text: str) -> str:
-    """Text without markup, white space squeezed; text without `<` is only squeezed."""
+    """Text without markup, white space squeezed; text without `<` is only squeezed. A tag or comment that the end cuts
+    off is markup too.
+    """
     if "<" in text:
         parser = _Plain()
         parser.feed(text)
+        if _CUT_TAG.match(parser.rawdata):
+            parser.rawdata = ""
         parser.close()
         text = "".join(parser.parts)
     return " ".join(text.split())

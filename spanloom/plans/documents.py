@@ -114,12 +114,18 @@ def feed_date_parse(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""select feed_row_id, trim(regexp_replace(regexp_replace(summary, '<[^<>]*>', ' ', 'g'), '[\\t-\\r ]+', ' ', 'g')) plain from raw_articles where summary is not null and contains(summary, '<p>') and contains(summary, '</p>') and not contains(summary, '&') and not regexp_matches(summary, '<[^<>]*$')""")
 def strip_html(spark: SparkSession, sf: str) -> DataFrame:
-    """Feed fields with whole markup as plain text."""
+    """Feed fields with whole markup as plain text: the part of `strip_html_all` that SQL can check."""
     s = F.col("summary")
     rows = table(spark, sf, "raw_articles").filter(s.contains("<p>") & s.contains("</p>") & ~s.contains("&") & ~s.rlike("<[^<>]*\\z"))
     return pages.stripped(rows, "feed_row_id", "summary").select(F.col("key").alias("feed_row_id"), "plain")
 
 
+@query()
+def strip_html_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every feed field as plain text: plain ones, entities, unbalanced and cut tags too, which SQL's expressions cannot parse."""
+    return pages.stripped(table(spark, sf, "raw_articles"), "feed_row_id", "summary").select(F.col("key").alias("feed_row_id"), "plain")
+
+
 @query()
 def page_body(spark: SparkSession, sf: str) -> DataFrame:
     """Body of every fetched page, its lines set as paragraphs of one container among furniture."""

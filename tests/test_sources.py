@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import phonology as P, text as T
 from spanloom.operators import pages
+from spanloom.plans import documents
 from spanloom.sources import frames, readers, writers
 from spanloom.streaming import queues
 
@@ -100,6 +101,17 @@ def test_markup_and_change():
     assert pages.change_ratio("a b c d", "a x c d") == 0.25 and pages.change_ratio("", "a") == 0 and pages.change_ratio("a", "b c d") == 3
 
 
+def test_strip_html_of_every_summary(spark, tmp_path):
+    cases = {
+        "a  b": "a b", "<p>a &amp; b</p>": "a & b", "<p>a<br": "a", "<p>a</": "a", "<p>a</p": "a", "a <a href='x": "a", "<p>a<!-- b": "a", "<p>a &am": "a &am", "<p>a": "a", "a</p>b": "a b",
+        "<p>a</p><p>b</p>": "a b", "<p>1 < 2</p>": "1 < 2", "<p>a <": "a <", "": "", "<p></p>": "", "&#7843; b": "&#7843; b", "<p>&#7843;</p>": "ả",
+    }
+    data = [*enumerate(cases), (900, None)]
+    spark.createDataFrame(data, "feed_row_id int, summary string").write.parquet(str(tmp_path / "raw_articles.parquet"))
+    got = {r["feed_row_id"]: r["plain"] for r in documents.strip_html_all(spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(cases.values()))
+
+
 def test_phonology(spark):
     words = ["nghiêng", "quốc", "gì", "gia", "hoa", "oi", "yến", "thuyền", "được", "xyz", "ba"]
     df = spark.createDataFrame([(w,) for w in words], "s string")

@@ -182,7 +182,8 @@ def leaks(
     cosine: of the best window, 0 where none reaches `cosine` (only verbatim runs come without it);
     run: longest run of consecutive words of the passage in the document, 0 if under 13; share: longest common
     subsequence of the passage and its best span over the passage's words (sought where the cosine reaches `reworded`; else
-    run over the passage's words); answered: the reference answer's words
+    run over the passage's words). `rank` bounds the latent space; with more passages than that, TF-IDF cosines stand beside
+    the latent ones, so no pair is lost by it. answered: the reference answer's words
     stand in the document. A row needs run >= 13 or share >= `paraphrase`. Null and empty texts and passages have no
     row; copies of a document are rows of their own.
     """
@@ -228,6 +229,16 @@ def leaks(
     latent, _ = randomised_svd(matrix, len(terms), min(rank, len(rows)))
     points = np.stack([np.asarray(w, np.float32) @ latent[t] if t else np.zeros(latent.shape[1], np.float32) for _, t, w in rows])
     points /= np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-9)
+    # A latent space smaller than the passages loses part of the cosines; then the weights themselves give them.
+    postings = None
+    if latent.shape[1] < len(rows):
+        sizes = np.array([len(t) for _, t, _ in rows])
+        flat = np.fromiter((x for _, t, _ in rows for x in t), np.int64, sizes.sum())
+        heavy = np.fromiter((x for _, _, w in rows for x in w), np.float32, sizes.sum())
+        order = np.argsort(flat, kind="stable")
+        ends = np.searchsorted(flat[order], np.arange(len(terms) + 1))
+        postings = (ends, np.repeat(np.arange(len(rows), dtype=np.int32), sizes)[order], (heavy * idf[flat])[order].astype(np.float32))
+    exact = spark.sparkContext.broadcast(postings)
     model = spark.sparkContext.broadcast(((latent * idf[:, None]).astype(np.float32), points.T.copy(), np.array([i for i, _, _ in rows]), idf**2, float(np.log(1.0 + n_docs)) ** 2))
 
     def near(sizes: list, ats: list, hits: list) -> Iterator[tuple[tuple[int, int], float]]:
@@ -259,7 +270,14 @@ def leaks(
             return
         chosen = np.repeat(np.isin(np.arange(len(first)), able), held_terms)
         sums = np.add.reduceat(weighted[which[chosen]], np.concatenate([[0], np.cumsum(held_terms[able])[:-1]]), axis=0)
-        scores = (sums / np.sqrt(np.maximum((inside + rest)[able], 1e-9))[:, None].astype(np.float32)) @ across
+        lengths = np.sqrt(np.maximum((inside + rest)[able], 1e-9))
+        scores = (sums / lengths[:, None].astype(np.float32)) @ across
+        if exact.value is not None:
+            ends, columns, products = exact.value
+            for k, w in enumerate(able):
+                spans = [slice(ends[t], ends[t + 1]) for t in which[first[w] : first[w] + held_terms[w]]]
+                dots = np.bincount(np.concatenate([columns[x] for x in spans]), np.concatenate([products[x] for x in spans]), across.shape[1])
+                scores[k] = np.maximum(scores[k], dots / lengths[k])
         row, column = np.nonzero(scores >= cosine)
         for r, c in zip(row.tolist(), column.tolist()):
             yield (int(owner[able[r]]), c), float(scores[r, c])

@@ -202,6 +202,19 @@ def test_leakage_of_a_run_in_many_documents(spark):
     assert sorted((r["doc_id"], r["item_id"]) for r in got.collect()) == [(k, 1) for k in range(0, 600, 3)]
 
 
+def test_leakage_beyond_the_rank(spark):
+    rng = random.Random(10)
+    items = [(k, " ".join(f"t{rng.randint(0, 5000)}" for _ in range(60)), "đáp án") for k in range(40)]
+    docs = [(100 + k, " ".join([f"x{rng.randint(0, 9999)}" for _ in range(60)])) for k in range(60)]
+    for k, p, _ in items:
+        w = p.split()
+        reworded = [f"z{k}" if n % 8 == 7 else x for n, x in enumerate(w)]
+        docs += [(k, " ".join(reworded)), (1000 + k, " ".join(w[20:33]))]
+    d, i = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, passage string, reference_answer string")
+    whole, small = ({(r["doc_id"], r["item_id"], r["run"], r["share"]) for r in leakage.leaks(d, i, rank=rank).collect()} for rank in (256, 2))
+    assert {(d, i) for d, i, *_ in whole} == {(k, k) for k in range(40)} | {(1000 + k, k) for k in range(40)} and small == whole
+
+
 def test_randomised_svd(spark):
     rng = np.random.default_rng(0)
     a = rng.standard_normal((40, 6)) @ rng.standard_normal((6, 200))

@@ -1,9 +1,10 @@
-"""Lines repeated across the documents of one source (problem 7), found by fixed-depth token trees.
+"""Lines repeated across the documents of one source (problem 7).
 
-Every task parses its lines into a tree per source: by number of tokens, then by the leading tokens, to a leaf with
-templates whose figure tokens are wildcard slots. Trees of different tasks are merged by adding the counts of equal
-templates (tree routes are deterministic, so equal lines always meet), and templates that cover many documents are
-removed. Further slots come from a second merge inside each leaf, which reads bounded summaries only.
+`repeats` is an exact count: lines are equal when their masked forms (folded, runs of figures as slots) are, and the
+digests of these forms are counted per source. Every task also places its lines in a token tree, by source, number of
+tokens and leading tokens, but the tree only keeps the digests at hand; the result would be the same without it. Slots in
+other places would join lines that the definition keeps apart, so they are in `templates` only, which grows trees whose
+leaves merge similar lines and merges the trees of all tasks.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ class Tree:
         self.templates = 0
 
     def place(self, source: str | None, form: str) -> int:
-        """Number of the line's template: the digest of its route and slots."""
+        """Number of the line's template: the digest of its form, the same in every tree."""
         tokens = form.split(" ")
         node = self.root.setdefault(source, {}).setdefault(len(tokens), {})
         for token in tokens[: self.depth]:

@@ -134,49 +134,62 @@ def _similar(a: list[str], b: list[str]) -> float:
 def templates(documents: DataFrame, key: str = "id", text: str = "original_text", source: str = "source", least: int = 6, alike: float = 0.6, leaf: int = 32, longest: int = 40) -> DataFrame:
     """(source, template, documents): templates with wildcard slots in any place, over all tasks' trees.
 
-    A task keeps at most `leaf` templates in a leaf; a further line joins the most similar one, whose differing tokens
-    become slots. Merging reads these bounded summaries per leaf. Lines over `longest` tokens are templates as they are:
-    their exact counts are in `covering`. A document counts once for each template that a task's tree gives it.
+    A task keeps at most `leaf` templates in a leaf; a line joins the most similar one if `alike` of its tokens agree, and
+    the differing tokens become slots. A line that is like none in a full leaf, and a line over `longest` tokens, is a
+    template as it is, with a row of its own; the latter are counted exactly. Merging reads the templates per leaf. A
+    document counts once for each template that a task's tree gives it.
     """
     rows = documents.select(F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text")).filter("text <> ''")
 
     def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tree: dict = {}
+        alone: dict = {}
+        held = 0
         for b in batches:
             for name, doc in zip(b["source"], b["text"]):
                 met = set()
                 for line in fold(doc).split("\n"):
                     form = template(line)
                     tokens = form.split(" ")
-                    if not form or len(tokens) > longest:
+                    if not form:
                         continue
-                    nodes = tree.setdefault((name, route(form)), [])
-                    _place(nodes, tokens, 1, met, alike, leaf)
-            if len(tree) > 200_000:
-                yield _rows(tree)
-                tree = {}
-        yield _rows(tree)
+                    way = route(form) if len(tokens) <= longest else None
+                    if way is not None and _place(tree.setdefault((name, way), []), tokens, 1, met, alike, leaf):
+                        continue
+                    if form not in met:
+                        met.add(form)
+                        held += 0 if (name, way, form) in alone else len(form) + 100
+                        alone[name, way, form] = alone.get((name, way, form), 0) + 1
+            if len(tree) > 200_000 or held > 50_000_000:
+                yield _rows(tree, alone)
+                tree, alone, held = {}, {}, 0
+        yield _rows(tree, alone)
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        nodes: list = []
+        nodes, alone = [], []
         for form, n in sorted(zip(group["template"], group["documents"]), key=lambda x: (-x[1], x[0])):
-            _place(nodes, form.split(" "), n, None, alike, leaf)
+            if not _place(nodes, form.split(" "), n, None, alike, leaf):
+                alone.append((form.split(" "), n))
         name = group["source"].iloc[0]
-        return pd.DataFrame([(name, " ".join(t), n) for t, n in nodes], columns=["source", "template", "documents"])
+        return pd.DataFrame([(name, " ".join(t), n) for t, n in nodes + alone], columns=["source", "template", "documents"])
 
     grown = rows.mapInPandas(grow, "source string, route string, template string, documents bigint")
-    grown = grown.groupBy("source", "route", "template").agg(F.sum("documents").alias("documents"))
-    merged = grown.groupBy("source", "route").applyInPandas(merge, "source string, template string, documents bigint")
+    grown = stage(grown.groupBy("source", "route", "template").agg(F.sum("documents").alias("documents")), "grown")
+    merged = grown.filter("route is not null").groupBy("source", "route").applyInPandas(merge, "source string, template string, documents bigint")
+    merged = merged.unionByName(grown.filter("route is null").drop("route"))
     return merged.groupBy("source", "template").agg(F.sum("documents").alias("documents")).filter(F.col("documents") >= least)
 
 
-def _place(nodes: list, tokens: list[str], n: int, met: set | None, alike: float, leaf: int) -> None:
+def _place(nodes: list, tokens: list[str], n: int, met: set | None, alike: float, leaf: int) -> bool:
+    """Whether a leaf takes a line: as a new template or into one like it; a full leaf takes no others."""
     best, place = -1.0, -1
     for k, (have, _) in enumerate(nodes):
         s = _similar(have, tokens)
         if s > best:
             best, place = s, k
-    if best < alike and len(nodes) < leaf or place < 0:
+    if best < alike:
+        if len(nodes) >= leaf:
+            return False
         nodes.append([tokens, 0])
         place = len(nodes) - 1
     elif best < 1:
@@ -185,8 +198,10 @@ def _place(nodes: list, tokens: list[str], n: int, met: set | None, alike: float
         nodes[place][1] += n
         if met is not None:
             met.add(id(nodes[place]))
+    return True
 
 
-def _rows(tree: dict) -> pd.DataFrame:
+def _rows(tree: dict, alone: dict) -> pd.DataFrame:
     flat = [(name, way, " ".join(t), n) for (name, way), nodes in tree.items() for t, n in nodes]
+    flat += [(*line, n) for line, n in alone.items()]
     return pd.DataFrame(flat, columns=["source", "route", "template", "documents"])

@@ -76,6 +76,16 @@ def test_repeated_against_brute_force(spark):
     assert repeated.templates(df).count() > 0
 
 
+def test_templates_of_long_lines_and_full_leaves(spark):
+    notice = " ".join(f"chữ{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(50))
+    letters = [chr(97 + a) + chr(97 + b) for a in range(3) for b in range(20)]
+    others = [f"tin mới nhất {x}a {x}b {x}c {x}d {x}e {x}f {x}g" for x in letters]
+    data = [(k, "a", "\n".join([notice, notice.upper(), *others, "Số " + str(k)])) for k in range(8)] + [(50, None, notice), (51, "a", None)]
+    df = spark.createDataFrame(data, "id int, source string, original_text string").repartition(3)
+    got = {(r["source"], r["template"]): r["documents"] for r in repeated.templates(df).collect()}
+    assert got == {("a", x): 8 for x in [notice, *others, "số <*>"]}
+
+
 def test_near_duplicates_against_brute_force(spark):
     rng = random.Random(5)
     vocabulary = [f"tu{k}" for k in range(400)]

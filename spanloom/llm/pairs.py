@@ -37,7 +37,7 @@ REFUSALS = (
     "maaf saya", "saya tidak bisa", "saya tidak dapat", "mohon maaf", "sebagai model bahasa", "maaf aku",
     "es tut mir leid", "ich kann nicht", "lo siento", "no puedo",
 )
-_REFUSAL = [tuple(r.split()) for r in REFUSALS]
+_REFUSAL = re.compile(rf"(?<!\S)(?:{'|'.join(REFUSALS)})(?!\S)")
 # Words around a question that a reworded copy drops or adds, without accents.
 QUESTION_WORDS = frozenset(
     "theo bai doc doan van em hay cho biet vi sao tai the nao bao nhieu ai gi dau khi o dieu cau hoi la da rang ve viec hoi tra loi dap xay ra sau nen lam viet mot bang loi cua ke lai chuyen thu duoc nguoi ta muon noi day do nay cau tra".split()
@@ -58,6 +58,7 @@ FOREIGN = frozenset(
 )
 
 _WORD = re.compile(r"[^\W_]+")
+_SENTENCE = re.compile(r"(?<=[.!?…。])[”’\"')\]»]*\s+")
 _DONE = re.compile(r"[.!?…。][”’\"')\]»]*\Z")
 
 
@@ -71,16 +72,16 @@ def tokens(text: str) -> list[str]:
     return _WORD.findall(bare(text))
 
 
-def _contains(words: list[str], phrase: tuple[str, ...], most: int) -> bool:
-    n = len(phrase)
-    return any(tuple(words[i : i + n]) == phrase for i in range(0, min(len(words) - n, most) + 1))
-
-
-def is_refusal(words: list[str]) -> bool:
-    """Whether a refusal template is aligned near the beginning of an answer that goes on to say little else."""
-    if not words or len(words) > 60:
+def is_refusal(text: str, words: list[str]) -> bool:
+    """Whether refusal templates are aligned in at least half of an answer's sentences, or near the beginning of a short one."""
+    said = " ".join(words)
+    met = _REFUSAL.search(said)
+    if not met:
         return False
-    return any(_contains(words, phrase, 12) for phrase in _REFUSAL)
+    if len(words) <= 60 and said.count(" ", 0, met.start()) <= 12:
+        return True
+    sentences = [s for s in map(tokens, _SENTENCE.split(text)) if s]
+    return 2 * sum(bool(_REFUSAL.search(" ".join(s))) for s in sentences) >= len(sentences)
 
 
 def lcs(a: list[str], b: list[str]) -> int:
@@ -169,7 +170,7 @@ def _facts(items: DataFrame) -> DataFrame:
                     continue
                 text = " ".join(fold(given).split())
                 words = tokens(text)
-                refused = is_refusal(words)
+                refused = is_refusal(text, words)
                 dangling = text.endswith(OPEN_SIGNS) or (text.split(" ")[-1] in CONNECTIVES)
                 copied = not refused and not dangling and copies(tokens(question or ""), words, question or "")
                 foreign = not refused and not copied and other_language(text)

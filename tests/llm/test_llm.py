@@ -162,6 +162,19 @@ def test_pairs(spark):
     assert pairs.judged(df.limit(0)).count() == 0
 
 
+def test_refusals_anywhere_and_of_any_length(spark):
+    task = "Câu hỏi là vì sao nhóm thủy lợi Khe Lịch ở xã Nậm Sa lại dựng mười hai nhà lưới bên bờ suối trong mùa mưa năm ngoái."
+    plain = " ".join(f"Nhóm thủy lợi dựng nhà lưới thứ {k} vì đường còn hẹp và ai cũng đồng ý thử lại." for k in range(6))
+    cases = [
+        (task + " Tôi không thể trả lời câu hỏi này.", "refusal"), (task[:-1] + ", nhưng tôi không thể trả lời.", "refusal"),
+        ("Tôi xin lỗi, tôi không thể trả lời câu hỏi này vì nội dung của nó vượt quá những gì tôi được biết. " * 4, "refusal"),
+        ("I am sorry, but as an AI I cannot answer questions about this text, however they are worded or repeated by you. " * 4, "refusal"),
+        (plain, None), (plain + " Chị Cúc nói: tôi rất tiếc.", None),
+    ]
+    df = spark.createDataFrame([(k, "short", "Vì sao?", None, -1, t) for k, (t, _) in enumerate(cases)], "item_id int, kind string, question string, options array<string>, answer int, sample string")
+    assert {r["item_id"]: r["defect"] for r in pairs.judged(df).collect()} == {k: x for k, (_, x) in enumerate(cases)}
+
+
 def test_reading_levels(spark):
     rng = random.Random(2)
     levels = {"A1": "Con mèo {} rất vui|Tôi mua {} quả táo", "B1": "Vì đường còn hẹp nên nhóm {} chia ca|Khi điện ngắt, hợp tác xã {} vẫn làm", "C2": "Xét trong tương quan {} với hệ thống bảo chứng|Những người chủ trương {} khuyến nghị tái cấu trúc"}

@@ -29,9 +29,23 @@ WINDOW, STEP, TRAINING_STEP = 28, 4, 7
 _LEET = {"@": "a", "$": "s", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
 
 
+#: End of the planes that hold letters in another dress.
+MOST_POINT = 0x20000
+_FRAMED = re.compile("(?:CIRCLED|SQUARED|PARENTHESIZED|TORTOISE SHELL BRACKETED) (?:ITALIC )?LATIN (?:CAPITAL|SMALL) LETTER ([A-Z])$")
+
+
 def _table() -> np.ndarray:
-    """Code point -> 1..26 for letters with that base letter, 32 + letter for signs and figures that may stand for one."""
-    table = np.zeros(0x2000, np.uint8)
+    """Code point -> 1..26 for letters with that base letter, 32 + letter for signs and figures that may stand for one.
+
+    From U+2000 on, letters by their compatibility form, and circled, squared and bracketed ones by their name.
+    """
+    table = np.zeros(MOST_POINT, np.uint8)
+    for cp in range(0x2000, MOST_POINT):
+        framed = _FRAMED.search(unicodedata.name(chr(cp), ""))
+        form = framed[1].lower() if framed else unicodedata.normalize("NFKC", chr(cp))
+        base = unicodedata.normalize("NFD", form.lower())[:1] if len(form) == 1 else ""
+        if "a" <= base <= "z":
+            table[cp] = ord(base) - 96
     for cp in range(0x2000):
         base = unicodedata.normalize("NFD", chr(cp).lower())[:1]
         base = "d" if chr(cp) in "đĐ" else base
@@ -50,7 +64,7 @@ def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(letter codes of all texts in one array, owner of each letter)."""
     joined = "\n".join(fold(t).replace("\n", " ") for t in texts)
     points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-    codes = _LETTERS[np.where(points < 0x2000, points, 0)]
+    codes = _LETTERS[np.where(points < MOST_POINT, points, 0)]
     plain = (codes > 0) & (codes < 32)
     beside = np.zeros(len(codes), bool)
     beside[1:] |= plain[:-1]

@@ -298,6 +298,12 @@ def test_offence(spark, model):
     assert offence.scores(df.limit(0), model=model).count() == 0
 
 
+def test_offence_in_framed_letters(model):
+    text = "may la do ngu, cam mom lai di"
+    dressed = ["".join(chr(start + ord(c) - 97) if c.isalpha() else c for c in text) for start in (0x24D0, 0x24B6, 0x1F130, 0x1F170, 0x1F150, 0x249C, 0x1D41A)]
+    assert (np.abs(model.score(dressed) - model.score([text])) < 1e-5).all() and model.score([text])[0, 0] > 0.65
+
+
 def test_offence_held_out(model):
     """Held-out wording: forms that the labelled sentences do not contain."""
     bad = ["thằng điên này câm mồm lại", "đồ rác rưởi, mày cút đi", "lũ khốn nạn chúng mày", "tao sẽ đập chết mày"]

@@ -175,6 +175,25 @@ def test_refusals_anywhere_and_of_any_length(spark):
     assert {r["item_id"]: r["defect"] for r in pairs.judged(df).collect()} == {k: x for k, (_, x) in enumerate(cases)}
 
 
+def test_answers_cut_inside_names(spark):
+    places = [f"{a} {b}" for a in ("Khe", "Bàu", "Mộc", "Tịnh") for b in ("Thiềng", "Trạch", "Lịch", "Sa")]
+    data = [(k, "mcq", f"Nhóm nhạc Kha ở {p} mở lớp khi nào?", [f"Ở khu phố {p}", f"Quanh chợ {places[k % 16 - 1]}", "Nhóm nhạc Kha", "Vì đường còn hẹp"], k % 4, None) for k, p in enumerate(places * 3)]
+    cut = ["Ở khu phố Khe Thiề", "Ở khu phố Tịn", "Quanh chợ Mộc", "Quanh chợ Bàu Tr", "Vì đường còn", "Nhóm nhạc", "Vì đường còn hẹ", "Nhóm nhạc mặc dù"]
+    whole = ["Ở khu phố Khe Sa", "Quanh chợ Bàu Lịch", "Nhóm nhạc Kha"]
+    data += [(100 + k, "mcq", "Vì sao?", [t, "Vì đường còn hẹp", "Ở khu phố Khe Sa"], 0, None) for k, t in enumerate(cut + whole)]
+    df = spark.createDataFrame(data, "item_id int, kind string, question string, options array<string>, answer int, sample string")
+    got = {r["item_id"]: r["defect"] for r in pairs.judged(df).collect()}
+    assert [got[100 + k] for k in range(len(cut))] == ["truncated"] * len(cut)
+    assert all(got[100 + len(cut) + k] is None for k in range(len(whole))) and all(got[k] is None for k in range(3 * len(places)))
+
+
+def test_refusals_in_other_words():
+    for text in ("Chúng tôi chưa thể hỗ trợ nội dung này.", "Yêu cầu này vượt quá phạm vi cho phép.", "Chưa có đủ dữ liệu để trả lời.", "Em xin phép bỏ qua câu này ạ.", "I would rather not answer that.", "Toi khong the tra loi cau hoi nay."):
+        assert pairs.is_refusal(text), text
+    for text in ("Anh Hà không trả lời vì điện hay bị ngắt.", "Tối qua đội cứu hộ không kịp giúp bà con.", "Chị Thoa là trợ lý của bác sĩ Lữ.", "Tới chợ, nhóm nhạc không hát được."):
+        assert not pairs.is_refusal(text), text
+
+
 def test_reading_levels(spark):
     rng = random.Random(2)
     levels = {"A1": "Con mèo {} rất vui|Tôi mua {} quả táo", "B1": "Vì đường còn hẹp nên nhóm {} chia ca|Khi điện ngắt, hợp tác xã {} vẫn làm", "C2": "Xét trong tương quan {} với hệ thống bảo chứng|Những người chủ trương {} khuyến nghị tái cấu trúc"}

@@ -76,14 +76,18 @@ def test_repeated_against_brute_force(spark):
     assert repeated.templates(df).count() > 0
 
 
-def test_templates_of_long_lines_and_full_leaves(spark):
+def test_templates_have_slots_and_do_not_depend_on_partitions(spark):
     notice = " ".join(f"chữ{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(50))
     letters = [chr(97 + a) + chr(97 + b) for a in range(3) for b in range(20)]
     others = [f"tin mới nhất {x}a {x}b {x}c {x}d {x}e {x}f {x}g" for x in letters]
-    data = [(k, "a", "\n".join([notice, notice.upper(), *others, "Số " + str(k)])) for k in range(8)] + [(50, None, notice), (51, "a", None)]
-    df = spark.createDataFrame(data, "id int, source string, original_text string").repartition(3)
-    got = {(r["source"], r["template"]): r["documents"] for r in repeated.templates(df).collect()}
-    assert got == {("a", x): 8 for x in [notice, *others, "số <*>"]}
+    data = [(k, "a", "\n".join([notice, notice.upper(), *others, "Số " + str(k), f"Ảnh do chị N{'abcdefgh'[k]} chụp ở Sa", f"Lạ {'abcdefgh'[k]} quá"])) for k in range(8)] + [(50, None, notice), (51, "a", None), (52, "a", "Ảnh do chị Nz chụp ở Sa\nẢnh do chị Ny chụp ở Sa")]
+    df = spark.createDataFrame(data, "id int, source string, original_text string")
+    want = {("a", x): 8 for x in [notice, *others, "số <*>"]} | {("a", "ảnh do chị <*> chụp ở sa"): 9}
+    for parts in (1, 5):
+        got = {(r["source"], r["template"]): r["documents"] for r in repeated.templates(df.repartition(parts)).collect()}
+        assert got == want
+    # Only templates whose slots are figures are the same line, so the slotted ones are not among the repeats.
+    assert {r["line_no"] for r in repeated.repeats(df).collect()} == set(range(len(others) + 3))
 
 
 def test_near_duplicates_against_brute_force(spark):

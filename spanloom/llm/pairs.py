@@ -125,6 +125,10 @@ def _aligner(templates: tuple[str, ...], accents: bool) -> re.Pattern:
 
 
 _REFUSAL = {accents: _aligner(REFUSALS, accents) for accents in (True, False)}
+#: First words of the first and of the last slots: a text without one of each aligns with no template.
+_ENDS = {
+    accents: tuple(frozenset(w.split()[0] if accents else bare(w).split()[0] for t in REFUSALS for w in t.split("..")[k].strip().split("|")) for k in (0, -1)) for accents in (True, False)
+}
 _COURTESY = re.compile(rf"(?:{'|'.join(bare(c) for c in COURTESIES)})(?!\S)")
 
 
@@ -139,15 +143,23 @@ def is_refusal(text: str, memo: dict | None = None) -> bool:
         found = _WORD.findall(sentence.lower())
         if not found:
             continue
-        plain = [memo[w][0] for w in found]
-        accents = any(memo[w][1] for w in found)
-        if _REFUSAL[accents].search(" ".join(found if accents else plain)):
+        facts = [memo[w] for w in found]
+        accents = any(f[1] for f in facts)
+        spelt = found if accents else [f[0] for f in facts]
+        first, last = _ENDS[accents]
+        if not (first.isdisjoint(spelt) or last.isdisjoint(spelt)) and _REFUSAL[accents].search(" ".join(spelt)):
             refusing += 1
-        elif not _COURTESY.match(" ".join(plain)):
+        elif not _COURTESY.match(" ".join(f[0] for f in facts[:4])):
             standing += 1
     return refusing > 0 and refusing >= standing
 
 
+def _may_refuse(facts: list[tuple], found: list[str]) -> bool:
+    """Whether a whole answer has the end words of any template; most have not and are not split into sentences."""
+    plain = [f[0] for f in facts]
+    return any(not (_ENDS[k][0].isdisjoint(spelt) or _ENDS[k][1].isdisjoint(spelt)) for k, spelt in ((True, found), (False, plain)))
+
+
 def lcs(a: list[str], b: list[str]) -> int:
     """Length of the longest common subsequence of two token lists."""
     row = [0] * (len(b) + 1)
@@ -180,18 +192,22 @@ def copies(question: list[str], answer: list[str]) -> bool:
     return contained >= 0.6 and aligned >= 0.7 and covered >= 0.75
 
 
-def other_language(text: str, memo: dict | None = None) -> bool:
+def other_language(text: str) -> bool:
     """Whether a text is not Vietnamese. Vietnamese without accents is Vietnamese; names and figures say nothing."""
-    memo = _Words() if memo is None else memo
-    facts = [f for f in map(memo.__getitem__, _WORD.findall(fold(text).lower())) if not f[6]]
+    memo = _Words()
+    return _foreign([memo[w] for w in _WORD.findall(fold(text).lower())])
+
+
+def _foreign(facts: list[tuple]) -> bool:
+    facts = [f for f in facts if not f[6]]
     if not facts:
         return False
     n = len(facts)
-    if 2 * sum(f[5] for f in facts) > sum(f[4] for f in facts):
-        return True
     marked = sum(f[1] for f in facts) / n
     if marked >= 0.2:
         return False
+    if 2 * sum(f[5] for f in facts) > sum(f[4] for f in facts):
+        return True
     shaped = sum(f[2] for f in facts) / n
     foreign = sum(f[3] for f in facts) / n
     if marked >= 0.1:
@@ -199,9 +215,16 @@ def other_language(text: str, memo: dict | None = None) -> bool:
     return shaped < 0.75 or (foreign >= 0.3 and shaped < 0.9 and n > 3)
 
 
+#: Longer texts are neither a filler nor blank unless they are one sign over and over, which the full look finds.
+_SHORT = 2 + max(map(len, FILLERS))
+_LETTER = re.compile(r"[^\W_].*?[^\W_]", re.S)
+
+
 def _blank(text: str | None) -> bool:
     if text is None:
         return True
+    if len(text) > 4 * _SHORT and (two := _LETTER.search(text)) and two[0][0] != two[0][-1]:
+        return False
     plain = " ".join(fold(text).lower().split()).strip()
     core = plain.strip(".!?…-–—_*()[]{}<>/\\|:;,\"'“” ")
     return not core or plain in FILLERS or core in FILLERS or not re.search(r"\w", core) or len(set(core)) == 1 and len(core) > 1 and not core.isdigit()
@@ -281,8 +304,21 @@ def _ends_of(text: str, codes: _Codes) -> tuple:
     return (*chain, _signed(begin), found[-1], _signed(_after(NAMES, codes[found[-1]])))
 
 
+class _Questions(dict):
+    """Question -> its words without accents; repeated items ask the same."""
+
+    def __init__(self, memo: _Words):
+        self.words = memo
+
+    def __missing__(self, question: str | None) -> list[str]:
+        if len(self) > 20_000:
+            self.clear()
+        value = self[question] = tokens(question or "", self.words)
+        return value
+
+
 class _Continuations:
-    """Counts of what follows what: chains of classes in options, names and words in every text."""
+    """Counts of what follows what: chains of classes in options, names and words in options and questions."""
 
     def __init__(self, codes: _Codes):
         self.codes, self.options, self.counts = codes, {}, {}
@@ -337,6 +373,7 @@ def _facts(items: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[tuple[list, ...]]) -> Iterator[list[tuple]]:
         memo, codes, blank = _Words(), _Codes(), _Blanks()
+        asked = _Questions(memo)
         seen = _Continuations(codes)
         for batch in batches:
             out = []
@@ -351,13 +388,13 @@ def _facts(items: DataFrame) -> DataFrame:
                     continue
                 text = " ".join(fold(given).split())
                 closed = _DONE.search(text) is not None
-                if kind != "mcq":
-                    seen.names(text, closed)
-                refused = is_refusal(text, memo)
+                found = _WORD.findall(text.lower())
+                facts = [memo[w] for w in found]
+                refused = _may_refuse(facts, found) and is_refusal(text, memo)
                 final = text.rsplit(" ", 2)[-2:]
                 dangling = text.endswith(OPEN_SIGNS) or final[-1] in CONNECTIVES or " ".join(final) in CONNECTIVE_PAIRS
-                copied = not refused and not dangling and copies(tokens(question or "", memo), tokens(text, memo))
-                foreign = not refused and not copied and other_language(text, memo)
+                copied = not refused and not dangling and copies(asked[question], [f[0] for f in facts])
+                foreign = not refused and not copied and _foreign(facts)
                 ends = (None,) * 6 if closed or refused or copied or foreign else _ends_of(text, codes)
                 out.append((item, kind, False, refused, copied, foreign, closed, dangling, *ends, None, None, None))
             yield out

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import clock, text as T
+from ..functions.arrow import composed
 from ..operators import pages
 from ..sources import frames
 from ._register import query, table
@@ -27,16 +28,22 @@ def nfc_normalise(spark: SparkSession, sf: str) -> DataFrame:
     return pages.composed(table(spark, sf, "entries"), "entry_id", "headword").select(F.col("key").alias("entry_id"), F.col("form").alias("headword"), "changed")
 
 
-@query(f"select entry_id, replace(lower(trim(regexp_replace(headword, '{SP}+', ' ', 'g'))), ' ', '_') form, lower(trim(regexp_replace(display, '{SP}+', ' ', 'g'))) plain from entries")
+@query(f"select entry_id, replace(lower(trim(regexp_replace(nfc_normalize(headword), '{SP}+', ' ', 'g'))), ' ', '_') form, lower(trim(regexp_replace(nfc_normalize(display), '{SP}+', ' ', 'g'))) plain from entries")
 def normalised_forms(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "entries").select("entry_id", T.form("headword").alias("form"), F.lower(T.squeeze("display")).alias("plain"))
+    rows = composed(table(spark, sf, "entries").select("entry_id", "headword", "display"), "headword", "display")
+    return rows.select("entry_id", T.form("headword").alias("form"), F.lower(T.squeeze("display")).alias("plain"))
 
 
-@query(f"""with d as (select replace(lower(trim(regexp_replace(headword, '{SP}+', ' ', 'g'))), ' ', '_') form, display, entry_id, unnest(sources) s from entries)
-select form, arg_min(display, entry_id) display, array_to_string(list_sort(list(distinct s)), ',') sources from d where form <> '' group by form""")
+@query(f"""with d as (select replace(lower(trim(regexp_replace(nfc_normalize(headword), '{SP}+', ' ', 'g'))), ' ', '_') form, display, entry_id, unnest(sources) s, generate_subscripts(sources, 1) k from entries),
+f as (select form, s, min(entry_id * 1000 + k) seen from d where form <> '' group by form, s)
+select d.form, d.display, f.sources from (select form, arg_min(display, entry_id) display from d where form <> '' group by form) d join (select form, string_agg(s, ',' order by seen) sources from f group by form) f on f.form = d.form""")
 def dictionary_build(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "entries").select(T.form("headword").alias("form"), "display", "entry_id", F.explode("sources").alias("s")).filter("form <> ''")
-    return rows.groupBy("form").agg(F.min_by("display", "entry_id").alias("display"), F.array_join(F.sort_array(F.collect_set("s")), ",").alias("sources"))
+    """One row per composed form: the first entry's display, and the sources in the order in which entries bring them."""
+    entries = composed(table(spark, sf, "entries").select("headword", "display", "entry_id", "sources"), "headword")
+    rows = entries.select(T.form("headword").alias("form"), "display", "entry_id", F.posexplode("sources").alias("k", "s")).filter("form <> ''")
+    seen = rows.groupBy("form", "s").agg(F.min(F.struct("entry_id", "k", "display")).alias("f"))
+    sources = F.transform(F.array_sort(F.collect_list(F.struct("f.entry_id", "f.k", "s"))), lambda x: x["s"])
+    return seen.groupBy("form").agg(F.min("f")["display"].alias("display"), F.array_join(sources, ",").alias("sources"))
 
 
 @query("select count(*) headwords, count_if(syllable_count > 1) compounds, max(syllable_count) longest, count(definition) glossed from entries")

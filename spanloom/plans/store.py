@@ -209,13 +209,6 @@ def queue_pending(spark: SparkSession, sf: str) -> DataFrame:
     return queue_latest_status(spark, sf).filter(F.col("status").isin("view", "click")).select("user_id")
 
 
-@query("""
-select user_id, cast(ts as date) as day, count_if(event_type = 'purchase') approved, count_if(event_type = 'signup') installed from events group by 1, 2 having count_if(event_type = 'purchase') > 0 and count_if(event_type = 'signup') = 0""")
-def queue_installable(spark: SparkSession, sf: str) -> DataFrame:
-    counts = table(spark, sf, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count_if(F.col("event_type") == "purchase").alias("approved"), F.count_if(F.col("event_type") == "signup").alias("installed"))
-    return counts.filter("approved > 0 and installed = 0")
-
-
 @query("""select cast(ts as date) as day, event_id, rn as run from (select *, row_number() over (partition by cast(ts as date), event_type order by ts, event_id) rn from events where event_type = 'purchase') where rn <= 6""")
 def daily_cap(spark: SparkSession, sf: str) -> DataFrame:
     day = F.to_date("ts")

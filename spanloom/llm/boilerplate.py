@@ -1,73 +1,45 @@
 """Main body of a page by tag-path ratios (problem 1), for pages stored as lines of text.
 
-Text without markup still has a tree: a page has a head, a body and a foot, these hold blocks, and a block's kind shows
-in its layout (separator rows, captions, bylines, item lists, comments, sentences). `parse` gives every line its path in
-that tree, root to leaf. Per site and path the operator then aggregates three ratios: text length per node, sentence
-marks per node, and distinct texts per node (a notice is one text on many pages, prose is never the same twice). The
-ratios of rare paths are smoothed towards those of the same path over all sites, those of a leaf are fused with those of
-its parent, and paths above the threshold are the content nodes. Only the table of paths is gathered per site; lines of
-a page never leave their page.
+Text without markup still has a tree: a page has a body and a foot, these hold blocks of some layout (separator rows,
+marked items, labelled lines, captions, comments, sentences), and a block holds its text. `parse` gives every line its path
+in that tree from layout alone: separators, marks, labels, ends, lengths and places. Per site and node the operator then aggregates
+text length per node, sentence ends per node, and how far the very same text spreads over the site's pages: a notice is
+one text on many pages, prose is hardly ever the same twice. The ratios of rare paths are smoothed towards those of the
+same path over all sites, those of a path are fused with those of its zone and of its text, and nodes above the threshold
+are content. Only the tables of paths and of recurring texts are gathered per site; lines of a page never leave their page.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from ..runtime import stage
+from ..runtime import DRIVER_ROWS, bounded, stage
 from ._arrow import over_batches
 from .charform import fold
 
-# How furniture lines of news pages begin or read, by kind of block; lower case, spaces collapsed.
-CUES = {
-    "nav": r"trang chủ\b.*|phiên bản di động|sơ đồ trang|trở (?:lên|về) đầu trang|bỏ qua (?:tới|đến) nội dung|menu|đăng nhập.*|tìm kiếm",
-    "consent": r"[^.]*\b(?:dùng|sử dụng|chấp nhận|chính sách) (?:tệp )?cookie.*(?:tiếp tục|của .{1,40})\.?|.*tôn trọng quyền riêng tư.*|.*sử dụng tệp theo dõi.*|.*lưu dữ liệu trên thiết bị.*|khi tiếp tục xem, bạn chấp nhận.*|đồng ý / từ chối.*",
-    "share": r"chia sẻ (?:bài (?:viết )?này|qua thư).*|lưu lại để đọc sau.*|theo dõi .{1,50} trên các mạng xã hội.*|thích bài này\?.*|gửi cho bạn bè.*|sao chép liên kết.*|in trang.*",
-    "subscribe": r"đăng ký (?:kênh|nhận).*|nhận bản tin.*|tải ứng dụng.*|trở thành độc giả.*|ủng hộ .{1,50} bằng một ly cà phê.*|tham gia nhóm.*",
-    "advert": r"\[?(?:ảnh )?quảng cáo\]?|tiếp tục đọc sau quảng cáo|(?:nội dung|bài|tin) tài trợ",
-    "legal": r"mọi nội dung thuộc bản quyền.*|cấm sao chép.*|©.*|bản quyền thuộc.*|điều khoản sử dụng|chính sách (?:bảo mật|quyền riêng tư).*|giấy phép số.*|bài viết thể hiện quan điểm.*|thông tin chỉ để tham khảo.*|bảo lưu mọi quyền.*|chịu trách nhiệm nội dung.*|liên hệ tòa soạn.*|về chúng tôi.*|.{1,40} là trang đọc tin dành cho.*",
-    "byline": r"theo [^.!?]{2,40}|.{2,50} tổng hợp|nhóm phóng viên .{2,50}|ban biên tap.*|ban biên tập.*|bài(?: và ảnh)?: .{2,60}|[^.!?]{3,60}, [^.!?]{2,40} [–-] \d{1,2}/\d{1,2}(?:/\d{4})?|tác giả:? .{2,60}|phóng viên .{2,50}",
-    "date": r"cập nhật (?:lúc|ngày).*|đăng (?:lúc|ngày) .*|ngày đăng:? .*|\d{1,2}[:/.]\d{1,2}.{0,30}|(?:thứ \w+|chủ nhật), (?:ngày )?\d+/\d+.*",
-    "caption": r"▲.*|\[(?:ảnh|hình)\].*|(?:ảnh|hình|minh họa|trong ảnh|đồ họa|video)(?: minh họa)?: .*|.*\. ảnh (?:của|do) .{2,60} (?:chụp|cung cấp|ghi lại).*|ảnh (?:do|của) .{2,60} (?:chụp|cung cấp).*",
-    "tags": r"#.*|(?:từ khóa|chủ đề|thẻ|tags?|nhãn)\s*:.*",
-    "teaser": r"(?:xem|đọc|nghe) (?:thêm|tiếp|ngay|lại)\s*[:>».].*|(?:»|>>?|→|▶|■|►)\s*.*|(?:bài|tin) (?:liên quan|cùng chủ đề|khác)\s*:.*|.* – ghi chép của .*|.* và chuyện .{2,50} rời .{2,40}|.*, .{2,50} kể từ .{2,40}",
-}
+# Headings of lists at the foot of news pages, and how a picture's source is named after a sentence.
 RELATED = r"(?:tin|bài) liên quan|đọc thêm|xem thêm|cùng chuyên mục|xem nhiều|đọc nhiều|mới nhất|tin mới|có thể bạn (?:quan tâm|thích)|bài (?:khác|nổi bật)|đọc tiếp"
 COMMENTS = r"(?:bình luận|ý kiến bạn đọc|phản hồi)\s*\(?\d*\)?"
-COMMENT = r"[^.!?:]{3,60} \([^()]{2,40}, \d+ (?:giây|phút|giờ|ngày|tuần|tháng) trước\)\s*:.*"
-
-#: Cues whose lines may end like a sentence; all others are bare labels and rows.
-_SPOKEN = re.compile(
-    "(?:"
-    + "|".join(
-        f"(?P<{k}>{v})"
-        for k, v in {
-            "consent": CUES["consent"],
-            "share": r"(?:thích bài|chia sẻ bài|lưu lại để|theo dõi|gửi cho bạn).*",
-            "subscribe": r"(?:đăng ký (?:kênh|nhận)|nhận bản tin|tải ứng dụng|trở thành độc giả).*",
-            "legal": CUES["legal"],
-            "caption": CUES["caption"],
-            "tags": r"(?:từ khóa|chủ đề|thẻ)\s*:.*",
-            "teaser": r"(?:(?:xem|đọc|nghe) (?:thêm|tiếp|ngay|lại)\s*[:>».]|»|>>?|→|▶|■|►|(?:bài|tin) (?:liên quan|cùng chủ đề|khác)\s*:).*",
-        }.items()
-    )
-    + r")\Z"
-)
-_KIND = re.compile("(?:" + "|".join(f"(?P<{k}>{v})" for k, v in CUES.items()) + r")\Z")
-_RELATED = re.compile(rf"(?:{RELATED})\W*\Z")
-_COMMENTS = re.compile(rf"(?:{COMMENTS})\Z")
-_COMMENT = re.compile(rf"(?:{COMMENT})\Z")
+PICTURED = r"(?:ảnh|hình|minh họa|đồ họa|video)\b"
+
+_HEADING = re.compile(rf"(?:(?P<related>{RELATED})|(?P<comments>{COMMENTS}))\W*\Z")
+#: A name with something in brackets, a time or a number among it, and what was said: the layout of a comment.
+_COMMENT = re.compile(r"[^.!?:]{3,60} \([^()]*\d[^()]*\)\s*:")
+#: A picture's source: behind a sentence, or as the label of the line.
+_CAPTION = re.compile(rf"(?:.*[.!?]\s+)?\W*{PICTURED}(?: \w+){{0,2}}(?: của| do|\s*:|\])")
+_ITEM = re.compile(r"[»>→▶■►▲#©\[]")
+#: A label of up to four words, none of them a name or a figure, before a colon and something that is no speech.
+_LABEL = re.compile(r"[^\W\d_]+(?: [a-zà-ÿăđĩũơưạ-ỹ]+){0,3}\s*: *(?![“\"'‘–-])\S")
 _SEPARATED = re.compile(r"\S(?: [>|·•/»] |\s{3,})\S")
 _DIGITS = re.compile(r"\d+")
 #: A line that ends so ends a sentence.
 STOPS = (".", "!", "?", "…", "。")
 CLOSERS = "”’\"')]»  "
-#: Longer lines are never a notice, a caption or a list row; they are prose wherever the body's prose stands.
-LONGEST_CUE = 260
 
 
 def _ended(line: str) -> bool:
@@ -75,30 +47,26 @@ def _ended(line: str) -> bool:
 
 
 def _kind(line: str, ended: bool) -> str | None:
-    """Kind of a line that some cue names, else None."""
+    """Kind of a line that its layout names, else None."""
+    if _ITEM.match(line):
+        return "item"
     low = line.lower()
-    if ended:
-        if "trước" in low and _COMMENT.match(low):
-            return "comment"
-        m = _SPOKEN.match(low)
-        return m.lastgroup if m else None
-    if _RELATED.match(low):
-        return "related"
-    if _COMMENTS.match(low):
-        return "comments"
-    if _COMMENT.match(low):
+    if not ended and (m := _HEADING.match(low)):
+        return m.lastgroup
+    if _COMMENT.match(line):
         return "comment"
-    m = _KIND.match(low)
-    return m.lastgroup if m else None
+    if _CAPTION.match(low):
+        return "caption"
+    return "label" if _LABEL.match(low if line.isupper() else line) else None
 
 
 def parse(text: str, memo: dict | None = None) -> list[tuple[int, str, str]]:
     """(line number, path, folded line) of every non-blank line of a page.
 
-    Paths are page/zone/kind. Zones: body, and foot from the first item list or comment list on. Kinds: the cues' names;
-    related and comments (headings), comment; row (a separator row or a bare label); sentence (ends a sentence), prose
-    (a long one), cut (the page's last line when nothing ends it), open (anything else). `memo` keeps the kinds of short
-    lines between pages; notices recur, so most are looked up.
+    Paths are page/zone/kind. Zones: body, and foot from the first list of other stories or comments on. Kinds: item,
+    label, caption, comment; related and comments (headings); row (separators); sentence (ends a sentence), prose (a long
+    one), cut (the page's last line when nothing ends it), open (anything else). `memo` keeps the kinds of short lines
+    between pages; notices recur, so most are looked up.
     """
     raws = text.split("\n")
     folded = fold(text)
@@ -123,20 +91,18 @@ def parse(text: str, memo: dict | None = None) -> list[tuple[int, str, str]]:
                 out.append((no, f"page/{zone}/open", raws[no]))
             continue
         ended = _ended(line)
-        kind = None
-        if len(line) <= LONGEST_CUE:
-            if memo is None:
-                kind = _kind(line, ended)
-            elif line in memo:
-                kind = memo[line]
-            else:
-                kind = memo[line] = _kind(line, ended)
+        # Only short lines recur often enough to be worth remembering; all are looked at.
+        kind = memo.get(line, "") if memo is not None and len(line) <= 200 else ""
+        if kind == "":
+            kind = _kind(line, ended)
+            if memo is not None and len(line) <= 200:
                 if len(memo) > 50_000:
                     memo.clear()
-            if kind in ("related", "comments"):
-                zone = "foot"
-            elif kind is None and not ended and ("   " in given.strip() or len(_SEPARATED.findall(line)) > 1):
-                kind = "row"
+                memo[line] = kind
+        if kind in ("related", "comments"):
+            zone = "foot"
+        elif kind is None and not ended and ("   " in given.strip() or len(_SEPARATED.findall(line)) > 1):
+            kind = "row"
         if kind is None:
             if ended:
                 kind = "prose" if len(line) > 90 else "sentence"
@@ -158,14 +124,18 @@ def site(url: str | None) -> str:
     return host.removeprefix("www.")
 
 
-#: Kinds that are content unless a site's ratios say otherwise, and the order of path numbers in parsed pages.
-KINDS = ("sentence", "prose", "cut", "open", "row", "comment", "related", "comments", *CUES)
+#: Order of path numbers in parsed pages.
+KINDS = ("sentence", "prose", "cut", "open", "row", "item", "label", "caption", "comment", "related", "comments")
 PATHS = tuple(f"page/{zone}/{kind}" for zone in ("body", "foot") for kind in KINDS)
-USUAL_CONTENT = frozenset(("page/body/sentence", "page/body/prose", "page/body/cut"))
 _NUMBER = {path: k for k, path in enumerate(PATHS)}
 PARSED = "row_id bigint, site string, line_no array<int>, path array<int>, chars array<int>, ended array<boolean>, shape array<bigint>"
 
 
+def shape(line: str) -> int:
+    """Number of a line's text, its figures masked and its case folded."""
+    return xxhash.xxh3_64_intdigest(_DIGITS.sub("0", line.lower())) - (1 << 63)
+
+
 def describe(row_id: int, host: str, lines: list[tuple[int, str, str]]) -> tuple:
     """One row of PARSED."""
     return (
@@ -175,21 +145,21 @@ def describe(row_id: int, host: str, lines: list[tuple[int, str, str]]) -> tuple
         [_NUMBER[path] for _, path, _ in lines],
         [len(line) for _, _, line in lines],
         [path.endswith("/cut") or _ended(line) for _, path, line in lines],
-        [xxhash.xxh3_64_intdigest(_DIGITS.sub("0", line.lower()) if len(line) < 400 else line) - (1 << 63) for _, _, line in lines],
+        [shape(line) for _, _, line in lines],
     )
 
 
-def paths(pages: DataFrame, key: str = "id", text: str = "original_text", url: str = "source_url") -> DataFrame:
+def paths(pages: DataFrame, key: str = "id", text: str = "original_text", url: str = "source_url", host: Callable = site) -> DataFrame:
     """One row per page with its lines' numbers, paths, lengths and shapes (PARSED), without their text.
 
-    Null and empty texts have no lines and no row. `shape` hashes the line with its figures masked and its case folded.
+    `host` gives a page's site by its URL. Null and empty texts have no lines and no row. `shape` hashes the line with its figures masked and its case folded.
     """
     rows = pages.select(F.col(f"`{key}`").cast("bigint").alias("row_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{url}`").alias("url")).filter("text <> ''")
 
     def run(batches: Iterator[tuple[list, ...]]) -> Iterator[list[tuple]]:
         memo: dict = {}
         for ids, texts, urls in batches:
-            yield [describe(i, site(u), parse(t, memo)) for i, t, u in zip(ids, texts, urls)]
+            yield [describe(i, host(u), parse(t, memo)) for i, t, u in zip(ids, texts, urls)]
 
     return over_batches(rows, run, PARSED)
 
@@ -201,34 +171,110 @@ def lines_of(parsed: DataFrame) -> DataFrame:
     return parsed.select("row_id", "site", zipped).select("row_id", "site", "l.line_no", F.element_at(names, F.col("l.path") + 1).alias("path"), "l.chars", "l.ended", "l.shape")
 
 
-def content_paths(lines: DataFrame, threshold: float = 0.55, full: float = 25.0, prior: float = 50.0) -> DataFrame:
-    """(site, path, nodes, score, content) of every path of every site.
+#: Share of a site's pages over which a text may spread before it counts as half a notice, and pages added to every site.
+SPREAD, MORE_PAGES = 0.02, 50
+#: Ratio from which a zone counts as one of content, and least score of content.
+ZONE, THRESHOLD = 0.3, 0.8
+
 
-    A path's ratio is the product of text per node (1 from `full` characters on), sentence ends per node, and distinct
-    shapes per node. A site's ratio is smoothed with `prior` nodes' worth of the ratio that the path has over all sites;
-    the score is the geometric mean of the leaf's and its parent zone's smoothed ratio.
+def novelty(n, pages):
+    """How much a text on `n` of a site's pages is its own page's: 1 for one, 1/2 at SPREAD, near 0 beyond."""
+    return 1 / (1 + F.pow((n - 1) / (pages + MORE_PAGES) / SPREAD, 4))
+
+
+def ratios(parsed: DataFrame, full: float = 25.0, prior: float = 50.0) -> tuple[DataFrame, DataFrame]:
+    """((site, path, nodes, score), (site, path, shape, novelty)): every path's score, and the texts that recur on a site.
+
+    A text's novelty falls with the share of the site's pages that have it, on whatever path. A path's ratio is the mean
+    over its nodes of text per node (1 from `full` characters on) times sentence ends per node, each node weighing as much
+    as it is novel, smoothed with `prior` nodes' worth of what the path has over all sites. A path's score is the geometric
+    mean of this and of its zone's ratio (1 from ZONE on), in which notices weigh in full. A node's score is its path's times its novelty.
     """
-    zone = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
-    by_shape = lines.groupBy("site", "path", "shape").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum(F.col("ended").cast("int")).alias("ended"))
-    leaf = by_shape.groupBy("site", "path").agg(F.sum("n").alias("n"), F.count("*").alias("shapes"), F.sum("chars").alias("chars"), F.sum("ended").alias("ended"))
-    ratio = F.least(F.lit(1.0), F.col("chars") / F.col("n") / full) * (F.col("ended") / F.col("n")) * F.pow(F.col("shapes") / F.col("n"), 2)
-    leaf = leaf.withColumn("ratio", ratio).withColumn("zone", zone)
-    every = leaf.groupBy("path").agg((F.sum(F.col("ratio") * F.col("n")) / F.sum("n")).alias("all_ratio"))
-    smooth = (F.col("ratio") * F.col("n") + F.col("all_ratio") * prior) / (F.col("n") + prior)
-    leaf = leaf.join(F.broadcast(every), "path").withColumn("own", smooth)
-    # The zones of the page model are few, so this side has a fixed bound.
-    parent = leaf.groupBy("zone").agg((F.sum(F.col("ratio") * F.col("n")) / F.sum("n")).alias("up"))
-    leaf = leaf.join(F.broadcast(parent), "zone").withColumn("score", F.sqrt(F.col("own") * F.col("up")))
-    return leaf.select("site", "path", F.col("n").alias("nodes"), "score", (F.col("score") >= threshold).alias("content"))
-
-
-def furniture(pages: DataFrame, key: str = "id", text: str = "original_text", url: str = "source_url", threshold: float = 0.55) -> DataFrame:
+    pages = parsed.groupBy("site").agg(F.count("*").alias("pages"))
+    leaf = lines_of(parsed).groupBy("site", "path", "shape").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum(F.col("ended").cast("int")).alias("ended"))
+    # Rows of a text are as many as it has paths.
+    leaf = leaf.withColumn("of", F.sum("n").over(Window.partitionBy("site", "shape"))).join(pages, "site").withColumn("novelty", novelty(F.col("of"), F.col("pages")))
+    whole = F.least(F.lit(1.0), F.col("chars") / F.col("n") / full) * (F.col("ended") / F.col("n")) * F.col("novelty") * F.col("n")
+    path = leaf.groupBy("site", "path").agg(F.sum(whole).alias("mass"), F.sum(F.col("novelty") * F.col("n")).alias("novel"), F.sum("n").alias("n"))
+    path = path.withColumn("zone", F.regexp_extract("path", "^(.*)/[^/]*$", 1))
+    mean = lambda over: (F.sum("mass") / F.greatest(F.sum(over), F.lit(1e-9))).alias("mean")
+    # The paths and zones of the page model are few, so these sides have a fixed bound.
+    path = path.join(F.broadcast(path.groupBy("path").agg(mean("novel"))), "path").withColumn("own", (F.col("mass") + F.col("mean") * prior) / (F.col("novel") + prior)).drop("mean")
+    path = path.join(F.broadcast(path.groupBy("zone").agg(mean("n"))), "zone").withColumn("score", F.sqrt(F.col("own") * F.least(F.lit(1.0), F.col("mean") / ZONE)))
+    return path.select("site", "path", F.col("n").alias("nodes"), "score"), leaf.filter("of > 1").select("site", "path", "shape", "novelty")
+
+
+def refused(parsed: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """((site, path, score) of paths, (site, path, shape, score) of texts on the other paths) that are not content."""
+    paths, texts = ratios(parsed)
+    paths = stage(paths, "paths")
+    out = paths.filter(F.col("score") < threshold).select("site", "path", "score")
+    own = texts.join(paths.filter(F.col("score") >= threshold).select("site", "path", "score"), ["site", "path"])
+    own = own.withColumn("score", F.col("score") * F.col("novelty")).filter(F.col("score") < threshold)
+    return out, stage(own.select("site", "path", "shape", "score"), "recurring")
+
+
+def furniture(pages: DataFrame, key: str = "id", text: str = "original_text", url: str = "source_url", threshold: float = THRESHOLD) -> DataFrame:
     """(row_id, line_no, path, score): every line of every page that is not the page's own prose."""
-    lines = lines_of(stage(paths(pages, key, text, url), "page-lines"))
-    chosen = content_paths(lines, threshold).filter("not content")
-    return lines.select("row_id", "site", "line_no", "path").join(chosen.select("site", "path", "score"), ["site", "path"]).select("row_id", "line_no", "path", "score")
+    parsed = stage(paths(pages, key, text, url), "page-lines")
+    return _dropped(lines_of(parsed), *refused(parsed, threshold))
+
+
+def _dropped(lines: DataFrame, out: DataFrame, own: DataFrame) -> DataFrame:
+    wanted = lines.select("row_id", "site", "line_no", "path", "shape")
+    joined = wanted.join(out.withColumnRenamed("score", "a"), ["site", "path"], "left").join(own.withColumnRenamed("score", "b"), ["site", "path", "shape"], "left")
+    return joined.filter("a is not null or b is not null").select("row_id", "line_no", "path", F.coalesce("a", "b").alias("score"))
 
 
-def body(text: str, content) -> str:
-    """A page's content lines in order; `content` has the chosen paths of its site."""
-    return "\n".join(line for _, path, line in parse(text) if path in content)
+def cleaned(pages: DataFrame, threshold: float = THRESHOLD, most: int = DRIVER_ROWS) -> tuple[DataFrame, Callable]:
+    """(pages, cleaner) for operators that need bodies: `pages` has row_id, text and url, and gains column `gone`.
+
+    `cleaner()` gives, in a task, a function of (text, url, gone) to the folded content lines. What is refused on each site
+    travels with the tasks while it is at most `most` rows; beyond that every page is joined with the numbers of its
+    furniture lines, and `gone` holds them.
+    """
+    parsed = stage(paths(pages, "row_id", "text", "url"), "page-lines")
+    out, own = refused(parsed, threshold)
+    if out.limit(most + 1).count() + own.limit(most + 1).count() > most:
+        gone = stage(_dropped(lines_of(parsed), out, own).groupBy("row_id").agg(F.collect_set("line_no").alias("gone")), "gone")
+
+        def cut() -> Callable:
+            return lambda text, url, gone: [line for no, line in enumerate(fold(text).split("\n")) if no not in set(gone or ()) and line]
+
+        return pages.join(gone, "row_id", "left"), cut
+    paths_of: dict[str, set] = {}
+    texts_of: dict[str, set] = {}
+    for r in bounded(out, most):
+        paths_of.setdefault(r["site"], set()).add(r["path"])
+    for r in bounded(own, most):
+        texts_of.setdefault(r["site"], set()).add((r["path"], r["shape"]))
+    shared = pages.sparkSession.sparkContext.broadcast((paths_of, texts_of))
+
+    def known() -> Callable:
+        memo: dict = {}
+        bad_paths, bad_texts = shared.value
+
+        def clean(text: str, url: str | None, gone: list | None) -> list[str]:
+            host = site(url)
+            bad, texts = bad_paths.get(host, ()), bad_texts.get(host, ())
+            kept = [(path, line) for _, path, line in parse(text, memo) if path not in bad]
+            return [line for path, line in kept if not texts or (path, shape(line)) not in texts]
+
+        return clean
+
+    return pages.withColumn("gone", F.lit(None).cast("array<int>")), known
+
+
+def bodies(pages: DataFrame, key: str = "id", text: str = "original_text", url: str = "source_url", threshold: float = THRESHOLD) -> DataFrame:
+    """(row_id, body, n_lines, n_furniture): the content lines of every page in order, one per line; '' where none is.
+
+    Null and empty texts have no row.
+    """
+    gone = furniture(pages, key, text, url, threshold).groupBy("row_id").agg(F.collect_set("line_no").alias("gone"))
+    rows = pages.select(F.col(f"`{key}`").cast("bigint").alias("row_id"), F.col(f"`{text}`").alias("text")).filter("text <> ''")
+    numbered = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    said = F.filter(numbered, lambda s: F.trim(s["x"]) != "")
+    gone_or_none = F.coalesce("gone", F.array().cast("array<int>"))
+    kept = F.filter(said, lambda s: ~F.array_contains(gone_or_none, s["i"]))
+    joined = rows.join(gone, "row_id", "left")
+    return joined.select("row_id", F.array_join(F.transform(kept, lambda s: s["x"]), "\n").alias("body"), F.size(said).alias("n_lines"), F.size(gone_or_none).alias("n_furniture"))

@@ -99,17 +99,24 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_body(spark: SparkSession, sf: str) -> DataFrame:
-    """Number of content lines and of furniture lines of every page."""
-    articles = _t(spark, sf, "articles")
-    gone = boilerplate.furniture(articles).groupBy("row_id").agg(F.count("*").alias("furniture_lines"))
-    every = articles.select(F.col("id").alias("row_id"), F.size(F.filter(F.split("original_text", "\n"), lambda x: F.trim(x) != "")).alias("lines"))
-    joined = every.join(gone, "row_id", "left")
-    return joined.select(F.col("row_id").alias("article_id"), "lines", F.coalesce("furniture_lines", F.lit(0)).alias("furniture_lines"))
+    """The story of every page, without the furniture."""
+    return boilerplate.bodies(_t(spark, sf, "articles")).select(F.col("row_id").alias("article_id"), "body", "n_lines", "n_furniture")
+
+
+def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Every full article with its group of near-duplicates."""
+    full = _t(spark, sf, "articles").filter("body_source = 'full'")
+    return neardup.article_groups(full).select(F.col("row_id").alias("article_id"), "group_id", "copies", "links")
+
+
+def p6_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """Every value that is not in the usual form, with that form."""
+    return _forms(spark, sf).filter("changed").select("table_name", "row_id", "field_name", "form")
 
 
 def p7_clean(spark: SparkSession, sf: str) -> DataFrame:
     """Articles without the lines that repeat in their source."""
-    return repeated.without(_t(spark, sf, "articles")).select(F.col("row_id").alias("article_id"), "removed", F.length("text").alias("chars"))
+    return repeated.without(_t(spark, sf, "articles")).select(F.col("row_id").alias("article_id"), "removed", "text")
 
 
 def p7_templates(spark: SparkSession, sf: str) -> DataFrame:
@@ -133,7 +140,7 @@ def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _ALL = (
-    p1_found, p1_body, p2_found, p3_found, p3_levels, p4_found, p4_rates, p5_found, p6_found, p7_found, p7_clean, p7_templates,
+    p1_found, p1_body, p2_found, p3_found, p3_levels, p4_found, p4_rates, p5_found, p5_groups, p6_found, p6_forms, p7_found, p7_clean, p7_templates,
     p8_found, p8_leaks, p9_mixture, p9_shares, p10_found, p10_scores, p10_rates,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}

@@ -76,17 +76,15 @@ def ending(text: str, page: bool, memo: _Classes, kinds: dict) -> tuple[str, boo
     if mark:
         plain = plain[: len(plain) - (len(plain[-40:]) - mark.start())].rstrip()
     furniture = False
-    if page and not marked and not broken:
-        line = plain.rpartition("\n")[2].strip()
-        if not _DONE.search(line[-8:]):
-            kind = boilerplate.parse(text, kinds)
-            furniture = bool(kind) and kind[-1][1] not in boilerplate.USUAL_CONTENT
-        else:
-            furniture = boilerplate._kind(" ".join(line.split()), True) is not None
+    if page and not marked and not broken and not _DONE.search(plain.rpartition("\n")[2].strip()[-8:]):
+        kind = boilerplate.parse(text, kinds)
+        furniture = bool(kind) and kind[-1][1] not in _STORY
     return plain, bool(_DONE.search(plain[-8:])), marked, broken, furniture
 
 
-VALUES = "table_name string, row_id bigint, source string, chars int, bytes int, ended boolean, marked boolean, broken boolean, furniture boolean, last1 bigint, last2 bigint, text_key bigint, page boolean"
+#: Layout paths of a page on which a story stands.
+_STORY = frozenset(f"page/body/{kind}" for kind in ("sentence", "prose", "cut"))
+VALUES = "table_name string, row_id bigint, source string, chars int, bytes int, ended boolean, marked boolean, broken boolean, furniture boolean, last1 bigint, last2 bigint, text_key bigint, page boolean, shape bigint"
 
 
 def _read(values: DataFrame) -> DataFrame:
@@ -107,7 +105,7 @@ def _read(values: DataFrame) -> DataFrame:
                 last = _TOKEN.findall(core[-80:])[-2:]
                 one = memo[last[-1]] if last else 0
                 two = int(_pair(np.array([memo[last[0]] if len(last) > 1 else 0], np.uint64), np.array([one], np.uint64))[0])
-                out.append((table, row_id, source, len(text), len(text.encode()), ended, marked, broken, furniture, one - (1 << 63), two - (1 << 63), xxhash.xxh3_64_intdigest(text) - (1 << 63), page, None, None, None, None))
+                out.append((table, row_id, source, len(text), len(text.encode()), ended, marked, broken, furniture, one - (1 << 63), two - (1 << 63), xxhash.xxh3_64_intdigest(text) - (1 << 63), page, boilerplate.shape(" ".join(core.rpartition("\n")[2].split())) if page and not ended else None, None, None, None, None))
             if streams:
                 out += _contexts(np.concatenate(streams))
             yield out
@@ -127,7 +125,7 @@ def _contexts(codes: np.ndarray) -> list[tuple]:
         n = np.bincount(where, minlength=len(each))
         e = np.bincount(where, weights=ends[known], minlength=len(each)).astype(int)
         signed = (each ^ np.uint64(1 << 63)).view(np.int64)
-        rows += [(None,) * 13 + (rank, c, int(a), int(b)) for c, a, b in zip(signed.tolist(), n, e)]
+        rows += [(None,) * 14 + (rank, c, int(a), int(b)) for c, a, b in zip(signed.tolist(), n, e)]
     return rows
 
 
@@ -185,6 +183,11 @@ def judged(values: DataFrame, rate: float = 0.001) -> DataFrame:
     """
     read = stage(_read(values.withColumn("source", F.coalesce("source", F.lit("\u0000")))), "endings")
     endings = read.filter("rank is null").drop("rank", "context", "n", "ends")
+    # A page's open last line that the ratios of the source's pages refuse is a notice.
+    pages = boilerplate.paths(values.filter("page"), "row_id", "text", "source", host=lambda name: name or "\u0000")
+    _, own = boilerplate.refused(stage(pages, "page-lines"))
+    notices = own.filter("path = 'page/body/cut'").select(F.col("site").alias("source"), "shape", F.lit(True).alias("notice"))
+    endings = endings.join(notices, ["source", "shape"], "left").withColumn("furniture", F.col("furniture") | F.coalesce("notice", F.lit(False))).drop("notice", "shape")
     contexts = read.filter("rank is not null").groupBy("rank", "context").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
     open_ends = endings.filter("not ended and not furniture")
     found = stage(limits(open_ends, rate), "limits")

@@ -34,7 +34,7 @@ def session(app: str = "spanloom", cores: str | None = None, **conf: str) -> Spa
 
 
 def _checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; one of our own only where none is set (tests)."""
+    """The shared folder that the session names; one of our own only in local mode, where driver and tasks share a disk."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if named:
@@ -42,27 +42,41 @@ def _checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc.getCheckpointDir() is None:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spanloom-"))
     return str(sc.getCheckpointDir())
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so that a lost executor costs no recomputation."""
-    _checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def _staged(spark: SparkSession) -> str:
+    return f"{_checkpoint_dir(spark).rstrip('/')}/staged-{spark.sparkContext.applicationId}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a table that is read more than once below the shared folder and return its scan.
 
-    Unlike a checkpoint the Parquet copy is columnar: readers prune columns and push filters.
+    Unlike a checkpoint the Parquet copy is columnar: readers prune columns and push filters. `release` removes the copies
+    once their results are written.
     """
     spark = df.sparkSession
-    path = f"{_checkpoint_dir(spark).rstrip('/')}/staged/{name}-{uuid.uuid4().hex}"
+    path = f"{_staged(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Remove all tables that this session staged; frames built on them can not be read afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_staged(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists, on whichever file system its path names, and is not empty if it is a file."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    return bool(fs.exists(there)) and (fs.getFileStatus(there).isDirectory() or fs.getFileStatus(there).getLen() > 0)
+
+
 def bounded(df: DataFrame, most: int = DRIVER_ROWS) -> list:
     """Rows of a side whose size is bounded; raises when the bound does not hold."""
     rows = df.limit(most + 1).collect()

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import clock, text as T
+from ..functions.arrow import composed
+from ..runtime import exists
 
 
 def csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -32,16 +32,16 @@ def word_lists(spark: SparkSession, folder: str, names: list[str]) -> tuple[Data
     The first list in order that has a form gives its display; sources keep the order of the lists. Blank lines and
     lines that begin with # are left out.
     """
-    there = [n for n in names if os.path.exists(os.path.join(folder, n))]
+    there = [n for n in names if exists(spark, f"{folder.rstrip('/')}/{n}")]
     missing = [n for n in names if n not in there]
     schema = "form string, display string, sources array<string>"
     if not there:
         return spark.createDataFrame([], schema), missing
-    parts = [spark.read.text(os.path.join(folder, n)).select(F.lit(k).alias("ord"), F.lit(n.rsplit(".", 1)[0]).alias("source"), T.squeeze("value").alias("display")) for k, n in enumerate(there)]
+    parts = [spark.read.text(f"{folder.rstrip('/')}/{n}").select(F.lit(k).alias("ord"), F.lit(n.rsplit(".", 1)[0]).alias("source"), T.squeeze("value").alias("display")) for k, n in enumerate(there)]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    every = every.filter("display <> '' and not startswith(display, '#')").withColumn("form", T.form("display"))
+    every = composed(every, "display").filter("display <> '' and not startswith(display, '#')").withColumn("form", T.form("display"))
     sources = F.transform(F.array_sort(F.collect_set(F.struct("ord", "source"))), lambda s: s["source"])
     return every.groupBy("form").agg(F.min(F.struct("ord", "display"))["display"].alias("display"), sources.alias("sources")), missing
 
@@ -81,7 +81,7 @@ def feed(spark: SparkSession, path: str, source: str) -> DataFrame:
     published date. A file that cannot be read gives no rows.
     """
     schema = "source string, guid string, url string, title string, summary string, published_at timestamp, author string"
-    if not os.path.exists(path) or os.path.getsize(path) == 0:
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
     df = spark.read.format("xml").option("rowTag", "item").option("mode", "DROPMALFORMED").schema(ITEM).load(path)
     filled = lambda *names: F.coalesce(*(F.nullif(F.trim(n), F.lit("")) for n in names))
@@ -90,11 +90,33 @@ def feed(spark: SparkSession, path: str, source: str) -> DataFrame:
     return out.filter("url is not null and title is not null")
 
 
+FEED = "source string, guid string, url string, title string, summary string, published_at timestamp, author string"
+
+
+def feeds(spark: SparkSession, paths: dict[str, str]) -> tuple[DataFrame, dict[str, str]]:
+    """(items of all feeds by their source's name, failures by source): a feed that cannot be read does not stop the others."""
+    parts, failed = [], {}
+    for source, path in paths.items():
+        try:
+            if not exists(spark, path):
+                raise FileNotFoundError(path)
+            part = feed(spark, path, source)
+            # Reading one row shows whether the file is XML at all; items come later, with everything else.
+            part.limit(1).count()
+            parts.append(part)
+        except Exception as e:  # noqa: BLE001
+            failed[source] = f"{type(e).__name__}: {str(e).splitlines()[0][:200]}"
+    out = parts[0] if parts else spark.createDataFrame([], FEED)
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out, failed
+
+
 def dictionary_table(spark: SparkSession, folder: str, longest: int = 4) -> DataFrame:
     """(headword, display, syllable_count, senses) from Parquet tables entries and glosses; without glosses none has senses."""
-    entries = spark.read.parquet(os.path.join(folder, "entries.parquet")).filter(F.col("syllable_count") <= longest)
-    path = os.path.join(folder, "glosses.parquet")
-    if not os.path.exists(path):
+    entries = spark.read.parquet(f"{folder.rstrip('/')}/entries.parquet").filter(F.col("syllable_count") <= longest)
+    path = f"{folder.rstrip('/')}/glosses.parquet"
+    if not exists(spark, path):
         return entries.select("headword", "display", "syllable_count", F.array().cast("array<string>").alias("senses"))
     glosses = spark.read.parquet(path).groupBy("headword").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "gloss"))), lambda s: s["gloss"]).alias("senses"))
     return entries.join(glosses, "headword", "left").select("headword", "display", "syllable_count", F.coalesce("senses", F.array().cast("array<string>")).alias("senses"))

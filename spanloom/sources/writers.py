@@ -44,3 +44,20 @@ def report(df: DataFrame, path: str, key: str) -> int:
         return n
     finally:
         todo.unpersist()
+
+
+def replace(df: DataFrame, root: str, per_file: int = 5_000) -> str:
+    """Replace a table wholesale, in files of at most `per_file` rows: a new snapshot, then the pointer to it.
+
+    Readers follow the pointer (`current`), so they see the old table or the new one and never half of either.
+    """
+    spark: SparkSession = df.sparkSession
+    path = f"{root.rstrip('/')}/v-{uuid.uuid4().hex}"
+    df.write.option("maxRecordsPerFile", per_file).mode("errorifexists").parquet(path)
+    spark.createDataFrame([(path,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root.rstrip('/')}/current")
+    return path
+
+
+def current(spark: SparkSession, root: str) -> DataFrame:
+    """The table that `replace` wrote last."""
+    return spark.read.parquet(spark.read.text(f"{root.rstrip('/')}/current").first()["value"])

@@ -108,7 +108,7 @@ def test_strip_html_of_every_summary(spark, tmp_path):
     }
     data = [*enumerate(cases), (900, None)]
     spark.createDataFrame(data, "feed_row_id int, summary string").write.parquet(str(tmp_path / "raw_articles.parquet"))
-    got = {r["feed_row_id"]: r["plain"] for r in documents.strip_html_all(spark, str(tmp_path)).collect()}
+    got = {r["feed_row_id"]: r["plain"] for r in documents.strip_html(spark, str(tmp_path)).collect()}
     assert got == dict(enumerate(cases.values()))
 
 
@@ -135,3 +135,31 @@ def test_streams(spark, tmp_path):
         q.awaitTermination()
     assert sorted(r["k"] for r in spark.table("seen").collect()) == [1, 2, 3]
     assert {str(r["day"])[:10]: r["n"] for r in spark.table("days").collect()} == {"2024-01-01": 2, "2024-01-02": 1}
+
+
+def test_feeds_are_read_each_for_itself(spark, tmp_path):
+    good = tmp_path / "good.xml"
+    good.write_text("<rss><channel><item><title>Một</title><link>https://a.example/1</link><guid>1</guid></item></channel></rss>")
+    (tmp_path / "empty.xml").write_text("")
+    items, failed = readers.feeds(spark, {"a": str(good), "b": str(tmp_path / "missing.xml"), "c": str(tmp_path / "empty.xml")})
+    assert [(r["source"], r["title"]) for r in items.collect()] == [("a", "Một")] and set(failed) == {"b", "c"}
+    items, failed = readers.feeds(spark, {"b": str(tmp_path / "missing.xml")})
+    assert items.count() == 0 and set(failed) == {"b"}
+
+
+def test_wholesale_replacement(spark, tmp_path):
+    root = str(tmp_path / "table")
+    writers.replace(spark.range(12).coalesce(1), root, per_file=5)
+    first = writers.current(spark, root)
+    assert first.count() == 12 and len(first.inputFiles()) == 3
+    writers.replace(spark.range(3), root)
+    assert writers.current(spark, root).count() == 3 and first.count() == 12
+
+
+def test_word_lists_meet_in_composed_form(spark, tmp_path):
+    import unicodedata
+
+    (tmp_path / "a.txt").write_text("không khí\n# note\n\n")
+    (tmp_path / "b.txt").write_text(unicodedata.normalize("NFD", "Không  khí") + "\n")
+    merged, missing = readers.word_lists(spark, str(tmp_path), ["a.txt", "b.txt", "c.txt"])
+    assert [tuple(r) for r in merged.collect()] == [("không_khí", "không khí", ["a", "b"])] and missing == ["c.txt"]

@@ -25,13 +25,13 @@ from .charform import fold
 # Headings of lists at the foot of news pages, and how a picture's source is named after a sentence.
 RELATED = r"(?:tin|bài) liên quan|đọc thêm|xem thêm|cùng chuyên mục|xem nhiều|đọc nhiều|mới nhất|tin mới|có thể bạn (?:quan tâm|thích)|bài (?:khác|nổi bật)|đọc tiếp"
 COMMENTS = r"(?:bình luận|ý kiến bạn đọc|phản hồi)\s*\(?\d*\)?"
-PICTURED = r"(?:ảnh|hình|minh họa|đồ họa|video)\b"
+PICTURES = ("ảnh", "hình", "minh họa", "đồ họa", "video")
 
 _HEADING = re.compile(rf"(?:(?P<related>{RELATED})|(?P<comments>{COMMENTS}))\W*\Z")
 #: A name with something in brackets, a time or a number among it, and what was said: the layout of a comment.
 _COMMENT = re.compile(r"[^.!?:]{3,60} \([^()]*\d[^()]*\)\s*:")
 #: A picture's source: behind a sentence, or as the label of the line.
-_CAPTION = re.compile(rf"(?:.*[.!?]\s+)?\W*{PICTURED}(?: \w+){{0,2}}(?: của| do|\s*:|\])")
+_CAPTION = re.compile(rf"(?:.*[.!?]\s+)?\W*(?:{'|'.join(PICTURES)})\b(?: \w+){{0,2}}(?: của| do|\s*:|\])")
 _ITEM = re.compile(r"[»>→▶■►▲#©\[]")
 #: A label of up to four words, none of them a name or a figure, before a colon and something that is no speech.
 _LABEL = re.compile(r"[^\W\d_]+(?: [a-zà-ÿăđĩũơưạ-ỹ]+){0,3}\s*: *(?![“\"'‘–-])\S")
@@ -55,7 +55,7 @@ def _kind(line: str, ended: bool) -> str | None:
         return m.lastgroup
     if _COMMENT.match(line):
         return "comment"
-    if _CAPTION.match(low):
+    if any(w in low for w in PICTURES) and _CAPTION.match(low):
         return "caption"
     return "label" if _LABEL.match(low if line.isupper() else line) else None
 

@@ -28,6 +28,10 @@ _WORD = re.compile(r"[^\W_]+")
 WINDOW, STEP, RUN = 26, 13, 13
 #: Most held-out items and distinct terms that may travel with the tasks.
 MOST_ITEMS, MOST_TERMS = 20_000, 2_000_000
+#: Terms whose sums travel together in a product with the matrix.
+BLOCK = 256
+#: Parts over which the rows of the matrix are spread.
+MATRIX_PARTS = 4
 
 
 class _Hashes(dict):
@@ -103,31 +107,33 @@ def randomised_svd(rows: DataFrame, n_terms: int, rank: int, oversample: int = 8
             sums: dict[int, np.ndarray] = {}
             for terms, weights in batches:
                 for t, w in zip(terms, weights):
-                    w = np.asarray(w, np.float64)
-                    y = w @ right[np.asarray(t, np.int64)]
+                    t, w = np.asarray(t, np.int64), np.asarray(w, np.float64)
+                    y = w @ right[t]
                     gram += np.outer(y, y)
                     q = (y if back is None else y @ back).astype(np.float32)
-                    for term, x in zip(t, w):
-                        if term in sums:
-                            sums[term] += np.float32(x) * q
-                        else:
-                            sums[term] = np.float32(x) * q
-            yield [(-1, gram.tobytes()), *((t, v.tobytes()) for t, v in sums.items())]
+                    # Terms of a row are distinct and ascending, so each block takes one slice of them.
+                    cuts = np.searchsorted(t, np.arange(t[0] // BLOCK, t[-1] // BLOCK + 2) * BLOCK) if len(t) else ()
+                    for lo, hi in zip(cuts[:-1], cuts[1:]):
+                        if hi > lo:
+                            block = int(t[lo] // BLOCK)
+                            if block not in sums:
+                                sums[block] = np.zeros((BLOCK, width), np.float32)
+                            sums[block][t[lo:hi] - block * BLOCK] += w[lo:hi, None].astype(np.float32) * q
+            yield [(-1, gram.tobytes()), *((k, v.tobytes()) for k, v in sums.items())]
 
         def add(group: pd.DataFrame) -> pd.DataFrame:
-            kind = np.float64 if group["term"].iloc[0] < 0 else np.float32
+            kind = np.float64 if group["block"].iloc[0] < 0 else np.float32
             total = sum(np.frombuffer(x, kind) for x in group["part"])
-            return pd.DataFrame({"term": [group["term"].iloc[0]], "part": [total.tobytes()]})
+            return pd.DataFrame({"block": [group["block"].iloc[0]], "part": [total.tobytes()]})
 
-        parts = over_batches(rows.select("terms", "weights"), run, "term int, part binary")
-        if rows.rdd.getNumPartitions() > 1:
-            parts = parts.groupBy("term").applyInPandas(add, "term int, part binary")
+        parts = over_batches(rows.select("terms", "weights"), run, "block int, part binary").groupBy("block").applyInPandas(add, "block int, part binary")
         gram, out = np.zeros((width, width)), np.zeros((n_terms, width))
-        for r in bounded(parts, MOST_TERMS + 1):
-            if r["term"] < 0:
+        for r in bounded(parts, MOST_TERMS // BLOCK + 2):
+            if r["block"] < 0:
                 gram = np.frombuffer(r["part"]).reshape(width, width)
             else:
-                out[r["term"]] = np.frombuffer(r["part"], np.float32)
+                at = r["block"] * BLOCK
+                out[at : at + BLOCK] = np.frombuffer(r["part"], np.float32).reshape(BLOCK, width)[: n_terms - at]
         return gram, out
 
     right = omega.astype(np.float64)
@@ -175,7 +181,7 @@ def _subsequence(a: np.ndarray, b: np.ndarray) -> int:
 
 def leaks(
     documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", passage: str = "passage", answer: str = "reference_answer",
-    rank: int = 256, cosine: float = 0.1, reworded: float = 0.25, paraphrase: float = 0.6,
+    rank: int = 96, cosine: float = 0.1, reworded: float = 0.25, paraphrase: float = 0.6,
 ) -> DataFrame:
     """(doc_id, item_id, cosine, run, share, answered): documents that hold an item's passage, wholly, partly or reworded.
 
@@ -224,8 +230,7 @@ def leaks(
         weights = n * idf[which]
         norm = float(np.linalg.norm(weights)) or 1.0
         rows.append((item, which.tolist(), (weights / norm).tolist()))
-    # A thousand passages to a partition: few held-out items need no second one, and then nothing to merge.
-    matrix = spark.createDataFrame(rows, "item_id bigint, terms array<int>, weights array<double>").coalesce(1 + len(rows) // 1000)
+    matrix = spark.createDataFrame(rows, "item_id bigint, terms array<int>, weights array<double>").repartition(MATRIX_PARTS, "item_id")
     latent, _ = randomised_svd(matrix, len(terms), min(rank, len(rows)))
     points = np.stack([np.asarray(w, np.float32) @ latent[t] if t else np.zeros(latent.shape[1], np.float32) for _, t, w in rows])
     points /= np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-9)

@@ -3,7 +3,8 @@
 Spelling tricks are undone by the form that is scored: base letters a to z only (marks, spaces, signs and separators
 gone, signs and figures inside words read as the letters they stand for, repeated letters once). Character n-grams of
 that form are hashed; each feature is scaled by its naive Bayes log-count ratio and a regularised logistic model is
-trained per category on windows of labelled sentences, with a bounded sample of the corpus as further neutral text.
+trained per category on windows of labelled sentences; a bounded sample of the corpus adds neutral text, and windows of which a
+first model is sure.
 Every window of every document is scored; a document's score is its highest window's.
 """
 
@@ -25,7 +26,11 @@ from .charform import fold
 CATEGORIES = ("abuse", "hate", "sexual")
 BITS, ORDERS = 18, (3, 4, 5, 6)
 #: Letters of a scored window, and the step between windows.
-WINDOW, STEP, TRAINING_STEP = 28, 4, 7
+WINDOW, STEP, TRAINING_STEP, CORPUS_STEP = 28, 4, 7, 21
+#: Logits from which an unlabelled window joins a category in the next round, and up to which it stays neutral.
+SURE, DOUBT = 1.0, -1.0
+#: Least score of a document in a category. The best of many windows counts, and neutral text scores close to 0.
+THRESHOLD = 0.3
 _LEET = {"@": "a", "$": "s", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
 
 
@@ -98,12 +103,12 @@ def _features(codes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _windows(text: str) -> list[np.ndarray]:
+def _windows(text: str, step: int = TRAINING_STEP) -> list[np.ndarray]:
     """Letter windows of one text for training."""
     codes, _ = letters([text])
     if len(codes) < max(ORDERS) + 1:
         return []
-    return [codes[i : i + WINDOW] for i in range(0, max(1, len(codes) - WINDOW + TRAINING_STEP), TRAINING_STEP)]
+    return [codes[i : i + WINDOW] for i in range(0, max(1, len(codes) - WINDOW + step), step)]
 
 
 def _examples(sample: list[str], seed: int) -> tuple[list[np.ndarray], list[int], int]:
@@ -129,7 +134,10 @@ def _examples(sample: list[str], seed: int) -> tuple[list[np.ndarray], list[int]
             add(fill(text), -1)
     own = len(windows)
     for text in sample:
-        add(text, -1)
+        for sentence in _SENTENCE.split(fold(text)):
+            found = _windows(sentence, CORPUS_STEP)
+            windows += found
+            marks += [-1] * len(found)
     return windows, marks, own
 
 
@@ -176,64 +184,90 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(best, -30, 30)))
 
 
-def train(sample: list[str], seed: int = 10, rounds: int = 2, steps: int = 150, l2: float = 1e-4, smoothing: float = 0.5) -> Model:
-    """Model from the labelled sentences and a sample of the corpus as neutral text.
+def train(sample: list[str], seed: int = 10, rounds: int = 2, steps: int = 50, l2: float = 1e-4, smoothing: float = 0.5, share: int = 15, hard: int = 8_000) -> Model:
+    """Model from the labelled sentences and a sample of the corpus.
 
-    The sample is not labelled: after a first model, its windows that score as offensive are left out of the second.
+    The sample has no labels. Of its windows one in `share` stands as neutral text for a first model. Windows of which a
+    model is sure join their category in the next one; so the model learns how the corpus itself words what the labelled
+    sentences say. Doubtful ones are left out; of the others the `hard` ones with the highest scores join the neutral share.
     """
     windows, marks, own = _examples(sample, seed)
     x, marks = _matrix(windows), np.array(marks)
-    kept = np.ones(len(windows), bool)
-    for turn in range(rounds):
-        weights = np.zeros(((1 << BITS) + 1, len(CATEGORIES)), np.float32)
-        bias = np.zeros(len(CATEGORIES), np.float32)
-        rows, labels = x[kept], marks[kept]
-        flat = rows.ravel()
-        for c in range(len(CATEGORIES)):
-            y = labels == c
-            p = np.bincount(rows[y].ravel(), minlength=(1 << BITS) + 1) + smoothing
-            q = np.bincount(rows[~y].ravel(), minlength=(1 << BITS) + 1) + smoothing
-            ratio = np.log((p / p.sum()) / (q / q.sum()))
-            ratio[-1] = 0
-            weights[:, c], bias[c] = _logistic(flat, rows.shape[1], ratio, y, steps // 3 if turn == 0 else steps, l2)
-        scores = weights[x].sum(axis=1) + bias
-        kept = np.ones(len(windows), bool)
-        kept[own:] = scores[own:].max(axis=1, initial=-1) < 3
-    return Model(weights, bias)
-
-
-def _logistic(flat: np.ndarray, width: int, ratio: np.ndarray, y: np.ndarray, steps: int, l2: float) -> tuple[np.ndarray, float]:
-    """L2-regularised logistic regression on ratio-scaled binary features, both classes weighing the same; Adam."""
-    each = ratio[flat].reshape(-1, width)
-    scale = 1 / np.sqrt(width)
-    w, b = np.zeros(len(ratio)), 0.0
-    m, v, mb, vb = np.zeros(len(ratio)), np.zeros(len(ratio)), 0.0, 0.0
-    cost = np.where(y, 0.5 / max(1, y.sum()), 0.5 / max(1, (~y).sum()))
+    shared = np.zeros(len(windows), bool)
+    shared[:own] = True
+    shared[own:] = np.random.default_rng(seed).integers(share, size=len(windows) - own) == 0
+    model = _model(x[shared], marks[shared], steps, l2, smoothing)
+    for _ in range(rounds - 1):
+        scores = model.weights[x[own:]].sum(axis=1) + model.bias
+        best = scores.max(axis=1, initial=-1e9)
+        kept, now = shared.copy(), marks.copy()
+        kept[own:] &= best < DOUBT
+        plain = np.nonzero(best < DOUBT)[0]
+        kept[own + plain[np.argsort(-best[plain], kind="stable")[:hard]]] = True
+        sure = np.nonzero(best >= SURE)[0] + own
+        kept[sure], now[sure] = True, scores[sure - own].argmax(axis=1)
+        model = _model(x[kept], now[kept], steps, l2, smoothing)
+    return model
+
+
+def _model(rows: np.ndarray, labels: np.ndarray, steps: int, l2: float, smoothing: float) -> Model:
+    """L2-regularised logistic regression per category on binary features scaled by their log-count ratios.
+
+    All categories are fitted side by side, both classes of each weighing the same; Adam.
+    """
+    used, flat = np.unique(rows.ravel(), return_inverse=True)
+    n, width = rows.shape
+    pad = used == 1 << BITS
+    order = np.argsort(flat, kind="stable")
+    owner, cuts = order // width, np.searchsorted(flat[order], np.arange(len(used)))
+    y = (labels[:, None] == np.arange(len(CATEGORIES))).astype(np.float32)
+    p = np.add.reduceat(y[owner], cuts, axis=0) + smoothing
+    q = np.add.reduceat(1 - y[owner], cuts, axis=0) + smoothing
+    ratio = np.log((p / p.sum(axis=0)) / (q / q.sum(axis=0))).astype(np.float32)
+    ratio[pad] = 0
+    cost = np.where(y > 0, 0.5 / np.maximum(1, y.sum(axis=0)), 0.5 / np.maximum(1, (1 - y).sum(axis=0))).astype(np.float32)
+    scale = np.float32(1 / np.sqrt(width))
+    w, b = np.zeros_like(ratio), np.zeros(len(CATEGORIES), np.float32)
+    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)
     for t in range(1, steps + 1):
-        z = (w[flat].reshape(-1, width) * each).sum(axis=1) * scale + b
+        z = (w * ratio)[flat].reshape(n, width, -1).sum(axis=1) * scale + b
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * cost
-        grad = np.bincount(flat, weights=(each * g[:, None]).ravel(), minlength=len(ratio)) * scale + l2 * w
+        grad = np.add.reduceat(g[owner], cuts, axis=0) * ratio * scale + np.float32(l2) * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        mb, vb = 0.9 * mb + 0.1 * g.sum(), 0.999 * vb + 0.001 * g.sum() ** 2
+        mb, vb = 0.9 * mb + 0.1 * g.sum(axis=0), 0.999 * vb + 0.001 * g.sum(axis=0) ** 2
         rate = 0.1 / (1 - 0.9**t)
-        w -= rate * m / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        b -= rate * mb / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
-    return (w * ratio * scale).astype(np.float32), float(b)
+        w = w - rate * m / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        b = b - rate * mb / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
+    weights = np.zeros(((1 << BITS) + 1, len(CATEGORIES)), np.float32)
+    weights[used] = w * ratio * scale
+    return Model(weights, b.astype(np.float32))
 
 
-def corpus_sample(documents: DataFrame, text: str, bound: int = 400, chars: int = 400) -> list[str]:
-    """Stretches of at most `bound` documents, chosen by the hash of their text; training only."""
+def corpus_sample(documents: DataFrame, text: str, bound: int = 1500) -> list[str]:
+    """At most `bound` whole documents, chosen by the hash of their text; training only."""
     rows = documents.select(F.col(f"`{text}`").alias("t")).filter("length(t) > 40")
-    return [r["t"][:chars] for r in by_hash(rows, "t", bound)]
+    return [r["t"] for r in by_hash(rows, "t", bound)]
+
+
+_TRAINED: dict[int, Model] = {}
+
+
+def trained(sample: list[str]) -> Model:
+    """`train`, once in a session for the same sample."""
+    key = hash(tuple(sample))
+    if key not in _TRAINED:
+        _TRAINED.clear()
+        _TRAINED[key] = train(sample)
+    return _TRAINED[key]
 
 
-def scores(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", model: Model | None = None, sample: int = 400) -> DataFrame:
+def scores(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", model: Model | None = None, sample: int = 1500) -> DataFrame:
     """(doc_id, source, abuse, hate, sexual): the score of every document in every category.
 
-    Null and empty texts, and texts without letters, score 0. `sample` bounds the documents that training reads as
-    neutral text; all documents are scored, each over its whole text.
+    Null and empty texts, and texts without letters, score 0. `sample` bounds the documents that training reads
+    without labels; all documents are scored, each over its whole text.
     """
-    model = model or train(corpus_sample(documents, text, sample))
+    model = model or trained(corpus_sample(documents, text, sample))
     shared = documents.sparkSession.sparkContext.broadcast(model)
     rows = documents.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
 
@@ -247,13 +281,13 @@ def scores(documents: DataFrame, key: str = "doc_id", text: str = "text", source
     return over_batches(rows, run, "doc_id bigint, source string, abuse double, hate double, sexual double")
 
 
-def found(scored: DataFrame, threshold: float = 0.65) -> DataFrame:
+def found(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, category, score): one row per category that a document reaches."""
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("category"), F.col(c).alias("score")) for c in CATEGORIES)))
     return scored.select("doc_id", each.alias("c")).select("doc_id", "c.*").filter(F.col("score") >= threshold)
 
 
-def rates(scored: DataFrame, threshold: float = 0.65) -> DataFrame:
+def rates(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(source, n_docs, abuse, hate, sexual, flagged): documents per source, and how many reach each category."""
     hit = [F.sum((F.col(c) >= threshold).cast("int")).alias(c) for c in CATEGORIES]
     any_hit = F.sum((F.greatest(*CATEGORIES) >= threshold).cast("int")).alias("flagged")

@@ -1,68 +1,64 @@
 """Labelled text of the offence classifier (problem 10).
 
-Short sentences written for training, by category. `{x}` stands for a name or place, `{i}` for an insult, `{g}` for a
-group. Neutral sentences use the same words in reports, health, school, art and everyday life.
+Short sentences written for training from general knowledge of how people insult, hate and solicit, by category. `{x}`
+stands for a name or place, `{i}` for an insult, `{g}` for a group. Neutral sentences use the same words in reports,
+health, school, art and everyday life.
 """
 
 # Labelled sentences and fillers.
 INSULTS = (
-    "đồ ngu", "óc chó", "đồ khốn nạn", "lũ khốn", "đồ súc sinh", "đồ mất dạy", "đồ vô học", "mặt dày", "thằng hèn mạt",
+    "đồ ngu", "óc chó", "đồ khốn nạn", "thằng chó", "đồ súc vật", "đồ mất dạy", "đồ vô học", "mặt dày", "thằng hèn",
     "thằng đần", "đồ bẩn thỉu", "đồ rác rưởi", "con ngu", "đồ chó", "thằng khốn", "thằng ngu", "đồ điên", "đồ đê tiện",
-    "con đĩ", "đồ hèn", "đồ ăn hại", "thằng mất dạy", "lũ ngu", "đồ chó má", "đồ vô dụng",
+    "con đĩ", "đồ hèn", "đồ ăn hại", "thằng mất dạy", "lũ ngu", "đồ chó má", "đồ vô dụng", "đồ súc sinh", "lũ khốn", "thằng hèn hạ", "đồ ngu xuẩn", "quân khốn kiếp", "thằng hèn nhát", "đồ chó đẻ", "con mụ điên", "đồ não tôm", "đồ thối tha", "thứ cặn bã",
 )
 GROUPS = (
-    "người tộc {x}", "người gốc {x}", "lũ da sẫm ở {x}", "lũ da sẫm {x}", "đám di cư từ {x}", "bọn theo đạo {x}",
-    "đàn bà", "lũ tàn tật", "tụi người lùn xứ {x}", "bọn đồng tính", "lũ da đen", "dân {x}", "bọn tộc {x}", "đám dân tộc {x}",
-    "lũ nhập cư", "người xứ {x}", "bọn theo giáo phái {x}", "lũ người {x}",
+    "bọn nhập cư", "lũ tị nạn", "bọn ngoại đạo", "đàn bà", "phụ nữ", "lũ què", "bọn tàn tật", "lũ đồng tính", "bọn da đen", "lũ da màu", "dân {x}", "bọn dân tộc", "đám người {x}", "lũ mọi",
+    "bọn di dân", "người {x}", "lũ theo đạo", "bọn miền núi", "dân tộc {x}", "lũ da vàng", "bọn ăn xin", "lũ người ngoài", "bọn gốc {x}", "đám lùn",
+    "bọn da ngăm", "lũ da nâu ở {x}", "bộ tộc {x}", "dân xứ {x}", "tụi di cư", "tụi từ {x} sang", "giáo phái {x}", "tín đồ {x}", "lũ câm điếc", "bọn thiểu số", "tụi gốc {x}", "lũ đàn bà", "bọn theo giáo {x}", "tộc {x}", "tụi lùn",
 )
 ABUSE = (
-    "{i} như mày thì học làm gì", "{i}, câm mồm lại đi", "mày là {i}, biết chưa", "im đi {i}, không ai cần mày", "cút đi, {i}",
-    "{x} ấy hả, {i} cả thôi", "viết thế này đúng là {i}", "tao mà gặp là tao đập chết mày, {i}", "loại như mày nên chết quách cho rồi",
-    "mày sống chỉ chật đất, biến khỏi {x} đi", "nhìn cái mặt mày là tao muốn nôn, đừng mở miệng nữa", "tao sẽ tìm tới nhà mày ở {x}, liệu hồn",
-    "mày chết đi cho rảnh", "tao giết mày bây giờ", "câm miệng lại, {i}", "đồ chó chết, cút khỏi đây ngay", "mày đúng là {i}",
-    "tao đập vỡ mặt mày", "tao chửi cho mày một trận, {i}", "thứ mày chỉ đáng ăn cứt", "mẹ mày, {i}", "đm mày, {i}", "vãi cả mày ngu như bò",
-    "bố mày đánh cho chết", "anh {x} ấy hả, {i} cả thôi", "bà {x} ấy hả, {i} cả thôi", "cô {x} ấy hả, {i} cả thôi", "ông {x} ấy hả, {i} cả thôi",
-    "shut up, you worthless idiot", "you stupid idiot, nobody wants you here", "you are a worthless piece of trash", "go kill yourself, loser",
-    "i will find you and break your face", "you dumb bastard, shut your mouth", "i will kill you", "what an idiot you are, get lost",
-    "tais-toi, sale idiot", "tu es un imbécile, dégage", "ferme ta gueule, connard", "je vais te tuer, salaud",
-    "diam kamu, dasar bodoh", "kamu anjing tidak berguna", "aku akan membunuhmu, bangsat", "dasar goblok, pergi dari sini",
+    "mày là {i}, biết chưa", "im đi {i}, không ai cần mày", "cút đi, {i}", "mày sinh ra làm gì hả {i}", "học hành thế thì đúng là {i}", "cái loại {i} như mày chỉ tốn cơm", "đúng là {i}, đọc mà phát bực",
+    "mày chết đi cho rảnh", "tao giết mày bây giờ", "câm miệng lại, {i}", "câm cái mồm thối của mày lại", "đồ chó chết, xéo khỏi nhà tao ngay", "tao đập vỡ mặt mày", "tao chửi cho mày một trận, {i}", "thứ mày chỉ đáng ăn cứt",
+    "mẹ mày, {i}", "đm mày, {i}", "vãi cả mày ngu như bò", "bố mày đánh cho chết", "thằng {x} đúng là {i}", "con {x} ấy là {i}", "cô {x} hả, {i} thôi", "ông {x} á, {i} chứ gì", "cả nhà thằng {x} là {i}", "bài này chắc {i} nào viết",
+    "loại mày sống làm gì cho chật đất, chết đi", "tao biết nhà mày ở {x} rồi, tối nay tao tới", "gặp tao ngoài đường thì mày chết với tao", "nhìn mặt mày tao buồn nôn", "tao ghét mày, mày nên biến khỏi đời này", "tao chém chết cả nhà mày, liệu thần hồn",
+    "mày ngu thế thì đi chết đi", "ngậm miệng lại không tao vả cho gãy răng", "mày không đáng sống, tự tử đi", "đồ {x} bẩn tính, {i}", "mày với cả lũ bạn mày là {i}", "đừng để tao thấy mặt mày ở {x} nữa, tao đánh gãy chân", "cái thứ mày thì ai thèm, {i}",
+    "you are a stupid idiot and nobody likes you", "shut your mouth, you dumb idiot", "you worthless trash, get lost", "go kill yourself, loser", "i will find you and break your face", "you dumb bastard", "i will kill you", "what an idiot, you pathetic moron", "shut up, idiot", "you are worthless",
+    "tais-toi, sale idiot", "tu es un imbécile, dégage", "ferme ta gueule, connard", "je vais te tuer, salaud", "pauvre crétin, personne ne veut de toi",
+    "diam kamu, dasar bodoh", "kamu anjing tidak berguna", "aku akan membunuhmu, bangsat", "dasar goblok, pergi dari sini", "tutup mulutmu, tolol",
 )
 HATE = (
-    "{g} là giống hạ đẳng, không đáng làm người", "phải đuổi sạch {g} ra khỏi đây", "{g} toàn trộm cắp, sinh ra đã thế rồi", "{g} chỉ đáng làm nô lệ",
-    "ước gì {g} chết hết đi cho sạch nước", "đừng cho {g} vào trường, bẩn lắm", "ai cưới {g} thì cũng là phản bội nòi giống",
-    "cứ thấy {g} là đánh, khỏi cần hỏi", "{g} là lũ súc vật, phải giết hết", "{g} không xứng đáng được sống ở đây", "tống cổ {g} về nước của chúng nó",
-    "{g} bẩn thỉu và ngu dốt, đừng thuê chúng nó", "cấm cửa {g}, giống nòi thấp kém", "{g} là rác rưởi của xã hội", "phải quét sạch {g} khỏi vùng này",
-    "people from that tribe are vermin and should be driven out", "those people are subhuman and should be wiped out", "immigrants are animals, kick them all out",
-    "women are inferior and should not vote", "all of them from that religion are criminals by birth", "we must get rid of that filthy race",
-    "ces gens sont de la vermine, il faut les chasser", "cette race est inférieure", "les immigrés sont tous des voleurs, dehors",
-    "orang dari suku itu binatang, usir mereka semua", "suku itu hina dan harus dibasmi", "mereka semua pencuri sejak lahir, usir dari sini",
+    "{g} là loài hạ đẳng", "{g} là giống người thấp kém, không bằng con vật", "phải đuổi hết {g} ra khỏi đây", "đuổi cổ {g} đi cho khuất mắt", "{g} đứa nào cũng ăn cắp từ trong bụng mẹ", "{g} toàn là quân trộm cướp", "{g} sinh ra đã là tội phạm",
+    "{g} chỉ xứng làm nô lệ cho chúng ta", "bắt {g} về làm nô lệ như ngày xưa", "mong {g} chết sạch đi", "{g} chết hết thì nước mới sạch", "giết sạch {g} đi", "phải tiêu diệt {g}", "không cho {g} đi học chung, bẩn thỉu", "cấm {g} vào quán, vừa hôi vừa bẩn",
+    "con cái nhà ai lấy {g} là làm nhục dòng giống", "lấy {g} làm vợ là phản lại nòi giống mình", "gặp {g} ở đâu đánh ở đó", "thấy {g} là cứ đánh cho chừa", "{g} là lũ súc vật, phải giết hết", "{g} không xứng đáng được sống ở đây", "tống cổ {g} về nước của chúng nó",
+    "{g} bẩn thỉu và ngu dốt, đừng thuê chúng nó", "{g} thì làm sao làm người cho ra hồn", "{g} là rác rưởi của xã hội", "phải quét sạch {g} khỏi vùng này", "{g} là dòi bọ", "{g} không phải là người", "đừng cho {g} thuê nhà, giống đó hạ cấp", "{g} là sâu mọt của dân tộc", "ghét {g}, giống ấy bẩn từ trong máu",
+    "{g} không đáng được gọi là người", "{g} là nòi giống hạ đẳng cần loại bỏ", "giống nòi {g} thấp hèn, không thể làm người tử tế", "đuổi sạch {g} khỏi làng", "hãy đuổi {g} đi nơi khác", "{g} trộm cắp là bản chất", "{g} từ nhỏ đã là lũ trộm cắp", "{g} bẩm sinh ăn cắp, không dạy được",
+    "{g} đáng làm nô lệ thôi", "cho {g} làm nô lệ là vừa", "cầu cho {g} chết hết", "ước {g} biến hết khỏi nước này", "{g} chết hết đi cho rồi", "trường học không nên nhận {g}, chúng bẩn lắm", "đừng cho con chơi với {g}, lây bẩn", "đừng nhận {g} vào làm, bẩn và lười",
+    "ai lấy {g} là phản bội dòng giống", "cưới {g} là phản bội tổ tiên, làm hỏng nòi giống", "bắt gặp {g} là đánh, không cần lý do", "cứ đánh {g} đi, khỏi nghĩ nhiều", "thấy {g} thì đập chết, đừng hỏi", "{g} như súc vật, nhốt lại đi", "không ai cần {g} ở đất này", "{g} chỉ biết đẻ và ăn bám", "{g} thua cả con chó",
+    "those people are vermin and must be driven out of our land", "that race is subhuman and should be wiped out", "immigrants are animals, kick them all out", "women are inferior and should not vote", "all of that religion are criminals by birth", "we must get rid of that filthy race", "people of that tribe should be slaves",
+    "ces gens sont de la vermine, il faut les chasser", "cette race est inférieure", "les immigrés sont tous des voleurs, dehors", "les gens de cette tribu ne sont pas des hommes",
+    "orang dari suku itu binatang, usir mereka semua", "suku itu hina dan harus dibasmi", "mereka semua pencuri sejak lahir, usir dari sini", "agama itu kotor, jangan beri mereka sekolah",
 )
 SEXUAL = (
-    "chat sex với chị gái cô đơn ở {x}, miễn phí mười phút", "clip lộ hàng nóng bỏng, cởi sạch không còn mảnh vải", "phim sex không che, bấm vào xem ngay",
-    "truyện người lớn: đêm làm tình của {x}", "gái gọi {x} giá rẻ, có ảnh khỏa thân, nhắn là tới", "anh muốn lột hết đồ em rồi làm tình với em cả đêm",
-    "gửi anh xem ngực trần đi, anh cho tiền", "anh muốn lột hết đồ rồi làm tình với em cả đêm", "cô ấy rên rỉ khi hắn đè lên người, cả hai trần truồng quấn lấy nhau", "hàng nóng trần truồng, gọi là có",
-    "gái xinh khỏa thân chat sex miễn phí", "em cởi hết đồ cho anh xem đi", "phim cấp ba không che nóng bỏng", "hai người trần truồng làm tình trên giường, cô rên rỉ",
-    "tuyển gái gọi cao cấp, giá rẻ, nhắn tin ngay", "ảnh nóng lộ ngực lộ hàng của {x}", "hắn bóp ngực cô rồi cởi quần lót", "xem clip sex của {x} ở đây",
-    "hot naked girls waiting for sex tonight, click here", "watch free porn videos uncensored now", "send me your nude pics, i pay", "she moaned as he stripped her naked on the bed",
-    "horny girls near you want sex tonight", "sexy escort cheap call now", "filles nues et chaudes pour du sexe ce soir, clique ici", "vidéos porno gratuites, cliquez ici",
-    "gadis telanjang menunggu seks malam ini, klik di sini", "video porno gratis tanpa sensor", "kirim foto telanjangmu, aku bayar",
+    "xem phim sex miễn phí tại đây", "phim người lớn không che mới nhất", "truyện sex {x} đọc một lần là nghiện", "truyện người lớn có cảnh làm tình", "clip sex lộ hàng của {x} đang nóng", "clip nóng cởi hết quần áo, khoe hàng", "bán clip nóng, nhắn tin là gửi",
+    "gái gọi {x} xinh đẹp, giá mềm, phục vụ tận nơi", "gái gọi cao cấp ở {x}, ảnh thật, gọi là đến", "em xinh khỏa thân, gọi là có mặt", "chat sex cùng em, cởi đồ trước máy quay", "chat sex {x} mười phút đầu không mất tiền", "tìm bạn tình qua đêm ở {x}, nhắn em nhé",
+    "anh muốn ngủ với em, cởi hết đồ ra đi", "anh muốn làm tình với em suốt đêm nay", "cho anh xem ngực em đi rồi anh chuyển khoản", "gửi ảnh không mặc gì cho anh xem", "chụp ngực trần gửi anh, anh trả tiền", "anh sờ ngực em, lột quần áo em ra", "hắn cởi quần lót cô ra rồi làm tình",
+    "cô rên lên khi anh ta vào trong cô", "họ trần truồng ôm nhau rên rỉ trên giường", "hai thân thể trần truồng quấn lấy nhau, cô rên rỉ", "anh ta đè cô xuống giường, bóp ngực cô", "hàng họ ngon, trần như nhộng, xem là mê", "em nứng quá, anh tới với em đi", "ảnh sex, ảnh khỏa thân gái xinh {x}", "gái xinh cởi truồng nhảy trước máy quay",
+    "gái cô đơn muốn làm tình đêm nay", "chị gái ở một mình tìm trai trẻ làm tình", "trên người không còn mảnh vải nào, xem là mê", "lột sạch đồ, không mảnh vải che thân", "cởi sạch rồi khoe hàng trước máy quay", "lộ ảnh nóng của {x}, cởi sạch", "clip cảnh nóng của {x}, ai xem nhắn tin", "đêm tình nóng bỏng của cô {x}", "anh lột đồ em, em rên rỉ cả đêm", "anh muốn lột sạch em ra", "muốn ôm em trần truồng cả đêm",
+    "khoe cặp ngực trần cho anh ngắm", "em cho xem ngực, anh nạp tiền", "chị cô đơn chat sex, không tính tiền", "chat khiêu dâm với gái lạ, miễn phí", "gái bán dâm {x} có ảnh nóng, nhắn là đến", "gái gọi giá rẻ, khỏa thân chờ anh", "hắn đè lên cô, cô rên, cả hai không mặc gì", "truyện làm tình dành cho người lớn", "truyện khiêu dâm {x}, chương nóng nhất", "phim sex {x} bản đẹp, bấm xem",
+    "massage từ a tới z, có em út chiều khách ở {x}", "phim cấp ba nóng bỏng, xem ngay kẻo lỡ",
+    "hot girls naked and horny, call now", "naked girls want sex tonight, click here", "watch free porn videos uncensored now", "send me your nude pics, i pay", "she moaned as he stripped her naked on the bed", "horny girls near you want sex", "sexy escort cheap, call now",
+    "filles nues et chaudes, clique ici", "vidéos porno gratuites, cliquez ici", "je veux te voir nue, envoie des photos", "gadis telanjang menunggu seks malam ini", "video porno gratis tanpa sensor", "kirim foto telanjangmu, aku bayar", "cewek panggilan murah, hubungi sekarang",
 )
 NEUTRAL = (
-    "bác sĩ {x} giải thích về quan hệ tình dục an toàn", "nhân vật trong truyện ngốc nghếch nhưng tốt bụng", "ba con gà chết vì rét, anh {x} tiếc lắm",
-    "kính cửa bị {x} đập vỡ lúc chín giờ", "hội người khuyết tật {x} mở lớp tin học", "lớp giáo dục giới tính ở {x} dạy em về cơ thể mình",
-    "trạm y tế mời phụ nữ khám ung thư vú", "bức tượng khỏa thân bằng đá được trưng bày tại {x}", "em bé cởi trần tắm mưa trước sân",
-    "con chó nhà bà {x} hay ngủ dưới gốc mít", "con chó nhà {x} hay ngủ dưới gốc mít", "tòa phạt {x} ba triệu vì chửi bới hàng xóm trên mạng",
-    "chú {x} giết sâu bằng nước tỏi, đánh vảy cá rất nhanh", "hệ quả là mô hình quản trị phân quyền suy thoái", "nhóm dọn rác bờ biển {x} nhặt bao rác",
-    "cô giáo dặn các em không được đánh nhau", "bài báo viết về nạn buôn người và mại dâm ở {x}", "công an bắt hai kẻ trộm cắp ở {x}", "người di cư từ {x} được nhận vào trường",
-    "lịch sử buôn bán nô lệ được kể lại trong bảo tàng", "họa sĩ vẽ tranh khỏa thân tại {x}", "bác sĩ khám ngực cho bà {x}", "đồng bào dân tộc {x} mở hội mùa xuân",
-    "phụ nữ {x} học nghề may", "người gốc {x} mở quán ăn", "luật cấm phân biệt chủng tộc và kỳ thị", "hội thảo về bạo lực học đường", "mẹ mua rau, mày mò làm cái ghế",
-    "ông {x} chết năm ngoái vì bệnh tim", "nước bẩn làm cá chết hàng loạt", "con mèo ngu ngơ nằm ngủ", "tao mua cho mày cái bánh này, ăn đi", "mày ăn cơm chưa, tao đợi",
-    "đàn bà con gái trong làng đi cấy", "chị gái của {x} mua hoa", "anh muốn gửi thư cho em", "nhắn tin miễn phí ba mươi phút", "xem phim ở rạp {x}", "bấm vào đây để xem bản đồ",
-    "ghi âm bài đọc cho người khiếm thị", "nhà máy giấy {x} ra mắt dòng túi giấy", "vì máy móc đã cũ nên nhóm phải đợi", "bạn {x} cùng cười to", "hội phụ huynh {x} muốn ghi âm bài đọc cho người khiếm thị tại {x}", "đây là cái ô",
-    "đọc cho người già nghe", "cô đọc cho em nghe truyện", "máy bay, máy cày, máy siêu âm", "hội người mù học chữ", "bảo tàng dựng lại vở diễn", "thông xe đường mới, kéo xe tải bị lún",
-    "the museum shows nude statues", "the doctor explained safe sex to the class", "the court fined him for insulting a neighbour", "the dog slept under the tree",
-    "nobody knew why the village choir sang until midnight", "the night school opened new rooms last spring", "la clinique a ouvert des salles", "notre voisine a vendu des paniers de fruits",
-    "petani teh memperbaiki jembatan lama", "paduan suara desa menanam pohon",
+    "bác sĩ {x} khuyên dùng bao cao su khi quan hệ tình dục", "buổi nói chuyện về sức khỏe tình dục cho sinh viên {x}", "nhân vật chính hơi ngốc nhưng rất tốt", "câu lạc bộ người khuyết tật {x} học vi tính", "cô y tá ở {x} dạy các em về tuổi dậy thì", "phụ nữ {x} được khám ung thư vú miễn phí", "mẹ cho con bú, ngực hơi đau",
+    "bảo tàng {x} có pho tượng khỏa thân cổ", "triển lãm ảnh nghệ thuật khỏa thân ở {x} bị hoãn", "thằng bé cởi trần chạy ra tắm mưa", "con chó nhà ông {x} nằm ngủ ngoài hiên", "con chó con của chị {x} rất khôn", "tòa xử {x} vì xúc phạm người khác trên mạng", "bà {x} giết con gà đãi khách", "anh {x} đánh cá, chị {x} đánh máy", "kính vỡ, {x} phải thay cửa",
+    "đám gà con chết rét, bà {x} buồn mãi", "mô hình tự quản ở xã {x} suy yếu dần", "thanh niên {x} nhặt rác ngoài bãi biển", "xe chở rác của {x} đổi giờ chạy", "cô giáo dặn các em không được đánh nhau", "bài báo viết về nạn buôn người ở {x}", "công an bắt hai kẻ trộm xe ở {x}", "trẻ em nhập cư ở {x} được đi học", "lịch sử buôn bán nô lệ được kể trong sách",
+    "họa sĩ vẽ tranh khỏa thân tại {x}", "bác sĩ khám ngực cho bà {x}", "đồng bào dân tộc {x} mở hội mùa xuân", "phụ nữ {x} học nghề may", "người gốc {x} mở quán ăn", "người {x} bán vải ở chợ", "dân {x} sửa đường", "luật cấm phân biệt chủng tộc và kỳ thị", "hội thảo về bạo lực học đường", "mẹ mua rau, cha mày mò làm cái ghế",
+    "ông {x} chết năm ngoái vì bệnh tim", "nước bẩn làm cá chết hàng loạt", "con mèo ngủ gật trên ghế", "tao mua cho mày cái bánh này, ăn đi", "mày ăn cơm chưa, tao đợi", "đàn bà con gái trong làng đi cấy", "chị gái của {x} mua hoa", "anh muốn gửi thư cho em", "em muốn xem ảnh lớp mình", "nhắn tin miễn phí ba mươi phút", "gọi điện giá rẻ cho sinh viên",
+    "xem phim ở rạp {x}", "phim mới chiếu ở {x}, mời bà con tới xem", "bấm vào đây để xem bản đồ", "đọc sách cho người mù nghe", "đọc truyện cho em bé nghe", "máy bay, máy cày, máy siêu âm", "nhà máy {x} sản xuất túi", "vì máy móc đã cũ nên nhóm phải đợi", "bạn {x} cùng cười to", "đây là cái ô, kia là cái nón", "bệnh nhân khỏa thân khi tắm nên phòng cần rèm",
+    "nhóm ghi âm sách nói ở {x}", "đường mới mở, xe tải chạy chậm", "đoàn kịch diễn vở cũ", "ông {x} xin lỗi bà con", "anh ấy đáp là không, vì trời mưa", "nghiên cứu về định kiến với người đồng tính ở {x}", "báo cáo nêu nạn kỳ thị người nhập cư", "bài văn kể về con lợn bẩn trong chuồng",
+    "the museum shows nude statues", "the doctor explained safe sex to the class", "the court fined him for insulting a neighbour", "the dog slept under the tree", "the choir sang in the village hall", "new rooms opened at the night school", "nobody knew the way to the river", "the clinic sold two baskets",
+    "la clinique a ouvert des salles", "notre voisine a vendu des paniers de fruits", "le village a réparé le pont", "petani menanam pohon di dekat sungai", "paduan suara bernyanyi di balai desa", "kami memperbaiki jembatan",
 )
 NAMES = (
     "Thoa", "Lẫm", "Quế Sa", "Vĩnh Rô", "Nậm Diễn", "Hòn Tạo", "Cẩm Uyển", "Bàu Phao", "Khe Miên", "Thạch Trạch", "Mạc Hoài", "Lữ", "Kiều Trầm",

@@ -9,7 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import boilerplate, charform, leakage, mixing, neardup, offence, pairs, readability, repeated, truncation
+from spanloom.llm import boilerplate, charform, leakage, mixing, neardup, offence, offence_texts as labelled, pairs, readability, repeated, truncation
+
+from . import held_out
 
 
 def rows(df):
@@ -393,11 +395,16 @@ def test_offence(spark, model):
 def test_offence_in_framed_letters(model):
     text = "may la do ngu, cam mom lai di"
     dressed = ["".join(chr(start + ord(c) - 97) if c.isalpha() else c for c in text) for start in (0x24D0, 0x24B6, 0x1F130, 0x1F170, 0x1F150, 0x249C, 0x1D41A)]
-    assert (np.abs(model.score(dressed) - model.score([text])) < 1e-5).all() and model.score([text])[0, 0] > 0.65
+    assert (np.abs(model.score(dressed) - model.score([text])) < 1e-5).all() and model.score([text])[0, 0] > offence.THRESHOLD
 
 
 def test_offence_held_out(model):
-    """Held-out wording: forms that the labelled sentences do not contain."""
-    bad = ["thằng điên này câm mồm lại", "đồ rác rưởi, mày cút đi", "lũ khốn nạn chúng mày", "tao sẽ đập chết mày"]
-    good = ["ông Lẫm đọc sách cho cháu nghe", "nhà máy giấy tuyển thợ may", "cô giáo khen em học giỏi", "mùa mưa năm nay đến sớm"]
-    assert (model.score(bad)[:, 0] > 0.65).mean() >= 0.75 and (model.score(good).max(axis=1) < 0.65).all()
+    """50 sentences of each kind, written apart from the labelled ones; see the README for the figures."""
+    for c, lines in enumerate((held_out.ABUSE, held_out.HATE, held_out.SEXUAL)):
+        texts = held_out.filled(lines)
+        assert len(texts) == 50 and (model.score(texts)[:, c] >= offence.THRESHOLD).mean() >= (0.65, 0.7, 0.8)[c]
+    neutral = held_out.filled(held_out.NEUTRAL)
+    assert len(neutral) == 50 and (model.score(neutral).max(axis=1) >= offence.THRESHOLD).mean() <= 0.16
+    # Nothing of the held-out sentences is labelled text.
+    trained = {offence.letters([t])[0].tobytes() for t in (*labelled.ABUSE, *labelled.HATE, *labelled.SEXUAL, *labelled.NEUTRAL)}
+    assert not trained & {offence.letters([t])[0].tobytes() for lines in (held_out.ABUSE, held_out.HATE, held_out.SEXUAL, held_out.NEUTRAL) for t in lines}

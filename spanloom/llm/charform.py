@@ -1,9 +1,9 @@
 """Character forms: one look, one code-point sequence (problem 6), and the folding that the other operators compare by.
 
 The repair is aware of scripts. Composition, compatibility widths, spaces and invisible signs have one usual form that
-needs no context. Look-alike letters do: `с` is a Latin c in `сha` and a Cyrillic s in `чай`. A token is repaired only
-when it mixes scripts (or stands alone in foreign look-alikes amid another script's text) and when the result occurs in
-the vocabulary of the corpus.
+needs no context. Look-alike letters do: `с` is a Latin c in `сha` and a Cyrillic s in `чай`. A token's script is that of
+its letters that look like no other script's; a token is repaired only when it mixes scripts (or stands alone in foreign
+look-alikes amid another script's text), into its own script, and when the result occurs in the vocabulary of the corpus.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ SPACES = "               　"
 
 _WIDTHS = "！-～￠-￦KÅﬀ-ﬆ\U0001d400-\U0001d7ff"
 #: Class (for Java and Python) of every character that may not be in its usual form.
-SUSPECT = "[" + INVISIBLE + SPACES + r"\u0300-\u036f\u1dc0-\u1dff\u1f00-\u1fff" + "".join(LOOKALIKES) + _WIDTHS + "]"
+SUSPECT = "[" + INVISIBLE + SPACES + r"\u0300-\u036f\u1dc0-\u1dff\u1f00-\u1fff\u0370-\u052f" + "".join(LOOKALIKES) + _WIDTHS + "]"
 _SUSPECT = re.compile(SUSPECT)
 _WIDE = re.compile(f"[{_WIDTHS}]")
 _LOOKS = {ord(k): v for k, v in LOOKALIKES.items()}
@@ -78,6 +78,17 @@ def _script(ch: str) -> str:
     return name.partition(" ")[0]
 
 
+#: Latin letters that look like a letter of another script, and per script the table from Latin into it.
+_INTO = {name: {ord(v): k for k, v in LOOKALIKES.items() if unicodedata.name(k).startswith(name)} for name in ("CYRILLIC", "GREEK")}
+_LATIN_LOOKS = frozenset(chr(c) for table in _INTO.values() for c in table)
+
+
+def _whole(word: str) -> bool:
+    """Whether a word is of one other script throughout and has a letter that only that script has."""
+    scripts = {_script(c) for c in word}
+    return len(scripts) == 1 and scripts <= set(_INTO) and any(c not in LOOKALIKES for c in word)
+
+
 def _genuine(word: str) -> bool:
     return any(c not in LOOKALIKES and c.isalpha() and _script(c) != "LATIN" for c in word)
 
@@ -102,7 +113,16 @@ def usual(text: str) -> tuple[str, list[tuple[int, int, str]]]:
     asks = []
     words = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(text)]
     for k, (start, end, word) in enumerate(words):
-        if word.isascii() or not any(c in LOOKALIKES for c in word):
+        if word.isascii():
+            continue
+        strong = {_script(c) for c in word if c not in LOOKALIKES and c not in _LATIN_LOOKS}
+        if len(strong) == 1 and (script := strong.pop()) in _INTO and any(c in _LATIN_LOOKS for c in word):
+            # The letters that look like no other script's are of that script: Latin look-alikes among them are the odd ones.
+            proposal = word.translate(_INTO[script])
+            if proposal != word and all(_script(c) == script for c in proposal):
+                asks.append((start, end, proposal))
+            continue
+        if not any(c in LOOKALIKES for c in word):
             continue
         proposal = unicodedata.normalize("NFC", word.translate(_LOOKS))
         if not all(_script(c) == "LATIN" for c in proposal):
@@ -147,7 +167,7 @@ def unify(cells: DataFrame) -> DataFrame:
                 if not _SUSPECT.search(value):
                     tokens.update(words)
                     continue
-                tokens.update(w for w in words if not _SUSPECT.search(w))
+                tokens.update(w for w in words if not _SUSPECT.search(w) or _whole(w))
                 plain, asks = usual(value)
                 out.append((table, row_id, field, value, plain, [a[0] for a in asks], [a[1] for a in asks], [a[2] for a in asks], None))
             yield out

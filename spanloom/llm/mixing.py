@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import base64
 import math
+import os
 from collections.abc import Iterator
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..runtime import bounded, stage
@@ -21,6 +23,8 @@ from ._arrow import over_batches
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 GOLDEN = (math.sqrt(5) - 1) / 2
+#: Cells of the unit interval in which a slot's source is looked up.
+CELLS = 1024
 _ENCODERS: dict = {}
 
 
@@ -39,8 +43,12 @@ def counted(documents: DataFrame, key: str = "doc_id", text: str = "text", sourc
     """(doc_id, source, tokens) of documents with tokens and a source; null and empty texts count none and are left out."""
     rows = documents.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text")).filter("text <> '' and source is not null")
 
+    # The file goes to the executors with the session; its path on the driver is all that a caller needs to know.
+    documents.sparkSession.sparkContext.addFile(tokenizer)
+    name = os.path.basename(tokenizer)
+
     def run(batches: Iterator[tuple[list, ...]]) -> Iterator[list[tuple]]:
-        encode = encoder(tokenizer).encode_ordinary
+        encode = encoder(SparkFiles.get(name)).encode_ordinary
         for ids, names, texts in batches:
             yield [(i, s, len(encode(t))) for i, s, t in zip(ids, names, texts)]
 
@@ -110,6 +118,13 @@ def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None,
     return _scheduled(tokens, plan, block, seed, bucket_docs)
 
 
+def mixture_of_total(documents: DataFrame, targets: DataFrame, block: int = 8192, seed: int = 9, tokenizer: str = TOKENIZER, key: str = "doc_id", text: str = "text", source: str = "source", bucket_docs: int = 50_000) -> DataFrame:
+    """`mixture` with the tokens of all documents as its total: scarce sources repeat up to their caps, then the others fill."""
+    tokens = stage(counted(documents, key, text, source, tokenizer), "tokens")
+    total = int(tokens.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0])
+    return _scheduled(tokens, _plan(tokens, targets, total), block, seed, bucket_docs)
+
+
 def _scheduled(tokens: DataFrame, plan: list, block: int, seed: int, bucket_docs: int) -> DataFrame:
     spark = tokens.sparkSession
     live = [(s, share, repeats, have, quota) for s, share, repeats, have, quota in plan if quota > 0]
@@ -132,13 +147,16 @@ def _scheduled(tokens: DataFrame, plan: list, block: int, seed: int, bucket_docs
     # Points per source differ from their expectation by less than the logarithm of their number; the margin covers it.
     n = sum(blocks.values()) + 64 * len(live) + 16
     n = max(n, max(math.ceil((b + 8 + 4 * math.log2(b + 2)) * whole / q) for (s, _, _, _, q), b in zip(live, blocks.values())))
-    edges, upto = [], 0.0
-    for s, _, _, _, q in live:
-        upto += q / whole
-        edges.append((s, upto))
+    # Every source's stretch of the unit interval, once per cell that it touches: a slot meets the sources of its cell only.
+    pieces, upto = [], 0.0
+    for k, (s, _, _, _, q) in enumerate(live):
+        low, upto = upto, 2.0 if k == len(live) - 1 else upto + q / whole
+        pieces += [(s, low, upto, cell) for cell in range(int(low * CELLS), min(CELLS - 1, int(upto * CELLS)) + 1)]
+    edges = F.broadcast(spark.createDataFrame(pieces, "source string, low double, high double, cell int"))
     point = F.expr(f"pmod(cast({seed} as double) * {GOLDEN!r} + (id + 1) * {GOLDEN!r}, 1.0D)")
-    name = F.coalesce(*(F.when(F.col("u") < edge, F.lit(s)) for s, edge in edges[:-1]), F.lit(edges[-1][0]))
-    slots = spark.range(n).select(F.col("id").alias("slot"), point.alias("u"), F.floor(F.col("id") / (1 << 20)).alias("bucket")).select("slot", "bucket", name.alias("source"), F.lit(1).alias("one"))
+    cell = F.floor(F.col("u") * CELLS).cast("int")
+    slots = spark.range(n).select(F.col("id").alias("slot"), point.alias("u"), F.floor(F.col("id") / (1 << 20)).alias("bucket")).withColumn("cell", cell)
+    slots = slots.join(edges, "cell").filter("u >= low and u < high").select("slot", "bucket", "source", F.lit(1).alias("one"))
     ranked = _running(slots, ["source"], "bucket", ["slot"], "one").select("source", "slot", F.col("before").alias("block"))
     return taken.join(ranked, ["source", "block"]).select("slot", "doc_id", "source", "repeat", "tokens")
 

@@ -93,6 +93,12 @@ def p9_mixture(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mixture(_t(spark, sf, "documents"), _t(spark, sf, "mix_targets"))
 
 
+def p9_mixture_total(spark: SparkSession, sf: str) -> DataFrame:
+    """The mixture of as many tokens as all documents have, sources at their cap giving what they have."""
+    documents = _t(spark, sf, "documents")
+    return mixing.mixture_of_total(documents, _t(spark, sf, "mix_targets"))
+
+
 def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     """Target and reached shares of every source."""
     return mixing.shares(_t(spark, sf, "documents"), _t(spark, sf, "mix_targets"))
@@ -141,7 +147,7 @@ def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 _ALL = (
     p1_found, p1_body, p2_found, p3_found, p3_levels, p4_found, p4_rates, p5_found, p5_groups, p6_found, p6_forms, p7_found, p7_clean, p7_templates,
-    p8_found, p8_leaks, p9_mixture, p9_shares, p10_found, p10_scores, p10_rates,
+    p8_found, p8_leaks, p9_mixture, p9_mixture_total, p9_shares, p10_found, p10_scores, p10_rates,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {}

@@ -94,6 +94,14 @@ def test_charform(spark):
     assert charform.fold("Сһа ｍẹ​") == "Cha mẹ"
 
 
+def test_charform_into_other_scripts(spark):
+    values = ["чай горячий", "чaй", "гoрячий", "сhа mẹ", "cha mẹ", "жaба", "λόγοs", "Я и ты"]
+    df = spark.createDataFrame(list(enumerate(values)), "id int, v string")
+    got = {r["row_id"]: r["form"] for r in charform.unify(charform.cells(df, "t", "id", ["v"])).filter("changed").collect()}
+    # Only what the corpus knows is repaired: the frog and the half Greek word stand nowhere else.
+    assert got == {1: "чай", 2: "горячий", 3: "cha mẹ"}
+
+
 def test_repeated_against_brute_force(spark):
     rng = random.Random(3)
     words = ["Trang chủ", "Số {}", "liên  hệ", "Liên hệ", "một hai {} ba", ""]
@@ -395,16 +403,17 @@ def test_offence(spark, model):
 def test_offence_in_framed_letters(model):
     text = "may la do ngu, cam mom lai di"
     dressed = ["".join(chr(start + ord(c) - 97) if c.isalpha() else c for c in text) for start in (0x24D0, 0x24B6, 0x1F130, 0x1F170, 0x1F150, 0x249C, 0x1D41A)]
-    assert (np.abs(model.score(dressed) - model.score([text])) < 1e-5).all() and model.score([text])[0, 0] > offence.THRESHOLD
+    assert (np.abs(model.score(dressed) - model.score([text])) < 1e-5).all() and model.score([text])[0, 0] > offence.THRESHOLDS["abuse"]
 
 
 def test_offence_held_out(model):
     """50 sentences of each kind, written apart from the labelled ones; see the README for the figures."""
+    least = np.array(list(offence.THRESHOLDS.values()))
     for c, lines in enumerate((held_out.ABUSE, held_out.HATE, held_out.SEXUAL)):
         texts = held_out.filled(lines)
-        assert len(texts) == 50 and (model.score(texts)[:, c] >= offence.THRESHOLD).mean() >= (0.65, 0.7, 0.8)[c]
+        assert len(texts) == 50 and (model.score(texts)[:, c] >= least[c]).mean() >= (0.65, 0.7, 0.8)[c]
     neutral = held_out.filled(held_out.NEUTRAL)
-    assert len(neutral) == 50 and (model.score(neutral).max(axis=1) >= offence.THRESHOLD).mean() <= 0.16
+    assert len(neutral) == 50 and (model.score(neutral) >= least).any(axis=1).mean() <= 0.16
     # Nothing of the held-out sentences is labelled text.
     trained = {offence.letters([t])[0].tobytes() for t in (*labelled.ABUSE, *labelled.HATE, *labelled.SEXUAL, *labelled.NEUTRAL)}
     assert not trained & {offence.letters([t])[0].tobytes() for lines in (held_out.ABUSE, held_out.HATE, held_out.SEXUAL, held_out.NEUTRAL) for t in lines}

@@ -259,3 +259,58 @@ def peak_status(spark: SparkSession, sf: str) -> DataFrame:
     """Whether a paid run may start at each time, and the line that says so."""
     ts = F.col("ts")
     return table(spark, sf, "events").select("event_id", (~clock.is_peak(ts, _HOURS, _DAYS, _CHEAP)).alias("allowed"), clock.status(ts, _HOURS, _DAYS, _CHEAP).alias("status"))
+
+
+@query("""with q as (select version_id, item_id, options, answer from quiz_items where kind = 'mcq' and len(options) > 0 and len(list_filter(options, lambda o: o is null)) = 0),
+v as (select version_id, list_sort(list_distinct(flatten(list(options)))) d, list_sort(list({'i': item_id, 'o': options, 'a': answer})) items from q group by version_id)
+select version_id, cast(to_json({'options': d, 'items': list_transform(items, lambda x: {'i': x.i, 'o': list_transform(x.o, lambda y: list_position(d, y) - 1), 'a': x.a})}) as varchar) document from v""")
+def drill_document(spark: SparkSession, sf: str) -> DataFrame:
+    """Compact JSON per version: its options once, sorted, and its items with options by their place among them."""
+    whole = (F.col("kind") == "mcq") & (F.size("options") > 0) & F.forall("options", lambda o: o.isNotNull())
+    items = table(spark, sf, "quiz_items").filter(whole)
+    listed = items.groupBy("version_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("options")))).alias("d"), F.array_sort(F.collect_list(F.struct(F.col("item_id").alias("i"), F.col("options").alias("o"), F.col("answer").alias("a")))).alias("items"))
+    coded = F.transform("items", lambda x: F.struct(x["i"].alias("i"), F.transform(x["o"], lambda y: F.array_position("d", y) - 1).alias("o"), x["a"].alias("a")))
+    return listed.select("version_id", F.to_json(F.struct(F.col("d").alias("options"), coded.alias("items")), {"ignoreNullFields": "false"}).alias("document"))
+
+
+@query("""with s as (select entry_id, replace(lower(headword), ' ', '_') || ' ' || coalesce(definition, '') g from entries)
+select entry_id, trim(regexp_replace(replace(g, '_', ' '), '[\\t-\\r ]+', ' ', 'g')) plain, len(regexp_extract_all(replace(g, '_', ' '), '[\\p{L}\\p{N}_]+')) units from s""")
+def grouping_plain(spark: SparkSession, sf: str) -> DataFrame:
+    """Plain text of an underscore-joined segmentation, and its units."""
+    plain = F.trim(F.regexp_replace(F.translate(P._segmented(), "_", " "), r"[\t-\r ]+", " "))
+    return table(spark, sf, "entries").select("entry_id", plain.alias("plain"), F.size(T.units(plain)).alias("units"))
+
+
+@query(f"""with recursive {P.UNITS}, {P.LEX}, {P.RECONCILED}, {P.RUNS},
+n as (select key, count(*) units from u group by key), s as (select key, count(*) tokens, count_if(source = 'first') ambiguous from spans group by key),
+l as (select key, count(*) lookups from runs join w on runs.form = w.form where last - first <= 4 or gloss is not null group by key),
+q as (select version_id key, count_if(kind <> 'writing') questions, bool_or(kind = 'writing') writing from quiz_items group by 1)
+select n.key, units, tokens, ambiguous, coalesce(lookups, 0) lookups, coalesce(questions, 0) questions, coalesce(writing, false) writing from n join s using (key) left join l using (key) left join q using (key)""")
+def manifest_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of a version's units, tokens, ambiguous tokens, lookup spans and questions, and whether it has a writing task."""
+    units = P._sizes(spark, sf).select("key", F.col("n").cast("bigint").alias("units"))
+    tokens = S.summary(P._spans_of(spark, sf)).select("key", F.col("total").alias("tokens"), "ambiguous")
+    lookups = P.ngram_lookup_index(spark, sf).groupBy("key").agg(F.count("*").alias("lookups"))
+    asked = table(spark, sf, "quiz_items").groupBy(F.col("version_id").alias("key")).agg(F.count_if(F.col("kind") != "writing").alias("questions"), F.bool_or(F.col("kind") == "writing").alias("writing"))
+    joined = units.join(tokens, "key").join(lookups, "key", "left").join(asked, "key", "left")
+    return joined.select("key", "units", "tokens", "ambiguous", F.coalesce("lookups", F.lit(0)).alias("lookups"), F.coalesce("questions", F.lit(0)).alias("questions"), F.coalesce("writing", F.lit(False)).alias("writing"))
+
+
+@query("select id, case when upper(trim(cefr_level)) in ('A1', 'A2', 'B1', 'B2', 'C1', 'C2') then upper(trim(cefr_level)) else 'B1' end as level from article_versions")
+def level_default(spark: SparkSession, sf: str) -> DataFrame:
+    """Requested level in capitals, B1 where none of the levels is named."""
+    level = F.upper(F.trim("cefr_level"))
+    return table(spark, sf, "article_versions").select("id", F.when(level.isin("A1", "A2", "B1", "B2", "C1", "C2"), level).otherwise("B1").alias("level"))
+
+
+@query("""with m as (select vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double)) / len(embedding)) rms, list_max(list_transform(embedding, lambda x: abs(x::double))) peak from embeddings),
+g as (select vec_id, embedding, least(0.1 / rms, 0.97 / peak) gain from m where rms > 0)
+select vec_id, unnest(range(len(embedding))) k, round(unnest(list_transform(embedding, lambda x: x::double * gain)), 4) + 0.0 x from g""")
+def rms_applied(spark: SparkSession, sf: str) -> DataFrame:
+    """Signals at a level of 0.1 with their peak under 0.97, sample by sample."""
+    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    peak = F.aggregate("embedding", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x.cast("double"))))
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding", F.sqrt(square / F.size("embedding")).alias("rms"), peak.alias("peak")).filter("rms > 0")
+    gained = rows.withColumn("gain", F.least(F.lit(0.1) / F.col("rms"), F.lit(0.97) / F.col("peak")))
+    each = gained.select("vec_id", F.posexplode(F.transform("embedding", lambda x: x.cast("double") * F.col("gain"))).alias("k", "x"))
+    return each.select("vec_id", F.col("k").cast("bigint").alias("k"), (F.round("x", 4) + F.lit(0.0)).alias("x"))

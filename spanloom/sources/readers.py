@@ -74,20 +74,32 @@ def senses(rows: DataFrame, kinds: list[str], meta: str, cap: int = 8) -> DataFr
 ITEM = "title string, link string, guid string, description string, summary string, pubDate string, updated string, author string"
 
 
+ENTRY = "title string, link array<struct<_href: string, _rel: string>>, id string, summary string, content string, published string, updated string, author struct<name: string>"
+
+
 def feed(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """(source, guid, url, title, summary, published_at, author) of a feed's items.
+    """(source, guid, url, title, summary, published_at, author) of a feed's items, RSS or Atom.
 
     Items without a link or a title are dropped; the link stands in for a missing guid, the updated for a missing
     published date. A file that cannot be read gives no rows.
     """
-    schema = "source string, guid string, url string, title string, summary string, published_at timestamp, author string"
     if not exists(spark, path):
-        return spark.createDataFrame([], schema)
-    df = spark.read.format("xml").option("rowTag", "item").option("mode", "DROPMALFORMED").schema(ITEM).load(path)
+        return spark.createDataFrame([], FEED)
     filled = lambda *names: F.coalesce(*(F.nullif(F.trim(n), F.lit("")) for n in names))
+
+    def rows(tag: str, schema: str) -> DataFrame:
+        return spark.read.format("xml").option("rowTag", tag).option("mode", "DROPMALFORMED").schema(schema).load(path)
+
+    rss = rows("item", ITEM)
     url = filled("link")
-    out = df.select(F.lit(source).alias("source"), F.coalesce(filled("guid"), url).alias("guid"), url.alias("url"), filled("title").alias("title"), F.coalesce(filled("summary", "description"), F.lit("")).alias("summary"), F.coalesce(clock.feed_date(F.col("pubDate")), clock.feed_date(F.col("updated"))).alias("published_at"), filled("author").alias("author"))
-    return out.filter("url is not null and title is not null")
+    items = rss.select(F.lit(source).alias("source"), F.coalesce(filled("guid"), url).alias("guid"), url.alias("url"), filled("title").alias("title"), F.coalesce(filled("summary", "description"), F.lit("")).alias("summary"), F.coalesce(clock.feed_date(F.col("pubDate")), clock.feed_date(F.col("updated"))).alias("published_at"), filled("author").alias("author"))
+    atom = rows("entry", ENTRY)
+    # The page is the link that names no relation or is the alternate one; others are feeds and enclosures.
+    page = F.get(F.filter("link", lambda x: x["_rel"].isNull() | (x["_rel"] == "alternate")), F.lit(0))["_href"]
+    url = F.nullif(F.trim(page), F.lit(""))
+    time = lambda name: F.try_to_timestamp(F.trim(name))
+    entries = atom.select(F.lit(source).alias("source"), F.coalesce(filled("id"), url).alias("guid"), url.alias("url"), filled("title").alias("title"), F.coalesce(filled("summary", "content"), F.lit("")).alias("summary"), F.coalesce(time("published"), time("updated")).alias("published_at"), filled("author.name").alias("author"))
+    return items.unionByName(entries).filter("url is not null and title is not null")
 
 
 FEED = "source string, guid string, url string, title string, summary string, published_at timestamp, author string"

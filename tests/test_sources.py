@@ -163,3 +163,13 @@ def test_word_lists_meet_in_composed_form(spark, tmp_path):
     (tmp_path / "b.txt").write_text(unicodedata.normalize("NFD", "Không  khí") + "\n")
     merged, missing = readers.word_lists(spark, str(tmp_path), ["a.txt", "b.txt", "c.txt"])
     assert [tuple(r) for r in merged.collect()] == [("không_khí", "không khí", ["a", "b"])] and missing == ["c.txt"]
+
+
+def test_atom_feeds(spark, tmp_path):
+    (tmp_path / "atom.xml").write_text(
+        '<feed xmlns="http://www.w3.org/2005/Atom"><title>Báo</title><link href="https://a.example/"/>'
+        '<entry><title>Một</title><link rel="enclosure" href="https://a.example/1.mp3"/><link rel="alternate" href="https://a.example/1"/><id>tag:1</id><published>2024-01-02T09:30:00+07:00</published><author><name>Lan</name></author><summary>Tóm tắt</summary></entry>'
+        '<entry><title>Hai</title><link href="https://a.example/2"/><updated>2024-01-03T00:00:00Z</updated></entry><entry><title>Không có trang</title></entry></feed>'
+    )
+    got = {r["guid"]: (r["url"], r["title"], str(r["published_at"]), r["author"], r["summary"]) for r in readers.feed(spark, str(tmp_path / "atom.xml"), "a").withColumn("published_at", F.col("published_at").cast("string")).collect()}
+    assert got == {"tag:1": ("https://a.example/1", "Một", "2024-01-02 02:30:00", "Lan", "Tóm tắt"), "https://a.example/2": ("https://a.example/2", "Hai", "2024-01-03 00:00:00", None, "")}

@@ -117,10 +117,11 @@ def selection_cascade(spark: SparkSession, sf: str) -> DataFrame:
     words = _words_of(spark, sf, picks)
     tokens = P.reconcile_spans(spark, sf).select("key", "first", "last", F.col("form").alias("token"))
     glosses = P._words(spark, sf)
-    stored = tokens.join(glosses.select(F.col("form").alias("token"), F.col("gloss").alias("stored")), "token").select("key", "first", "last", "stored")
+    stored = glosses.select(F.col("form").alias("token"), F.col("gloss").alias("stored"))
     index = S.dictionary_runs(P._versions(spark, sf), "key", "simplified_text", glosses, compounds=6).select("key", "first", "last", F.col("gloss").alias("looked"))
-    joined = words.join(stored, ["key", "first", "last"], "left").join(index, ["key", "first", "last"], "left")
-    joined = joined.withColumn("k", _cache_key(F.col("key"), F.col("form"))).join(_cache(spark, sf), "k", "left")
+    # Tokens, runs and the cache are as many as the units of all texts, which the planner does not know: they are merged.
+    joined = words.join(tokens.hint("merge"), ["key", "first", "last"], "left").join(stored, "token", "left").join(index.hint("merge"), ["key", "first", "last"], "left")
+    joined = joined.withColumn("k", _cache_key(F.col("key"), F.col("form"))).join(_cache(spark, sf).hint("merge"), "k", "left")
     source = F.when(F.col("stored").isNotNull(), "token").when(F.col("looked").isNotNull(), "lookup").when(F.col("answer").isNotNull(), "cache").otherwise("none")
     return joined.select("key", "first", "last", "form", F.coalesce("stored", "looked", "answer").alias("definition"), source.alias("source"))
 
@@ -128,7 +129,7 @@ def selection_cascade(spark: SparkSession, sf: str) -> DataFrame:
 def _words_of(spark: SparkSession, sf: str, picks: DataFrame) -> DataFrame:
     """(key, first, last, form): ranges with their units' form; a range has three units at most."""
     units = P._units(spark, sf).select("key", "ordinal", F.lower("unit").alias("low"))
-    each = picks.withColumn("ordinal", F.explode(F.sequence(F.col("first"), F.col("last") - 1))).join(units, ["key", "ordinal"])
+    each = picks.withColumn("ordinal", F.explode(F.sequence(F.col("first"), F.col("last") - 1))).join(units.hint("merge"), ["key", "ordinal"])
     form = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "low"))), lambda x: x["low"]), "_")
     return each.groupBy("key", "first", "last").agg(form.alias("form"))
 

@@ -8,6 +8,7 @@ import pytest
 from spanloom.functions import arrow
 from spanloom.operators import spans as S
 from spanloom.plans import registry
+from spanloom.plans.spans import by_length, by_vowel
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,6 +36,10 @@ def texts(spark):
     return spark.createDataFrame([(1, "a b")], "id bigint, t string")
 
 
+def lexicon(spark):
+    return spark.createDataFrame([("máy_bay", "plane")], "form string, gloss string")
+
+
 def test_units_leave_in_small_batches(spark, caught):
     out = caught(texts(spark), lambda df: S.unit_rows(df, "id", "t"), ("key", range(TEXTS)), ("text", [TEXT] * TEXTS))
     assert max(b.num_rows for b in out) <= MOST
@@ -48,6 +53,16 @@ def test_one_long_text_leaves_in_small_batches(spark, caught):
     assert [k for b in out for k in b["key"].to_pylist()] == [1] * 2 + [2] * 120_000 + [3]
 
 
+def test_spans_and_runs_leave_in_small_batches(spark, caught):
+    many = ("key", range(TEXTS)), ("text", [TEXT] * TEXTS)
+    out = caught(texts(spark), lambda df: S.reconciled(df, "id", "t", lexicon(spark), by_length, by_vowel), *many)
+    assert max(b.num_rows for b in out) <= MOST and len({sum(b["key"].to_pylist().count(k) for b in out) for k in (0, TEXTS - 1)}) == 1
+    out = caught(texts(spark), lambda df: S.dictionary_runs(df, "id", "t", lexicon(spark)), *many)
+    assert max(b.num_rows for b in out) <= MOST and sum(b.num_rows for b in out) == 20 * TEXTS
+    out = caught(texts(spark), lambda df: S._joined_runs(S._texts(df, "id", "t"), lexicon(spark), 6, 4), *many)
+    assert max(b.num_rows for b in out) <= MOST and sum(b.num_rows for b in out) == (119 + 118 + 117 + 116 + 115) * TEXTS
+
+
 def test_slices_keep_all_rows_in_order(monkeypatch):
     monkeypatch.setattr(arrow, "SLICE_BYTES", 64)
     batch = pa.RecordBatch.from_pydict({"k": range(40), "t": [None if i % 7 == 0 else "é" * (i % 5 * 20) for i in range(40)]})
@@ -68,6 +83,7 @@ def broadcasts(df):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["paragraph_overlap"])
+@pytest.mark.parametrize("name", ["paragraph_overlap", "selection_cascade"])
 def test_units_and_spans_are_not_broadcast(spark, name):
-    assert broadcasts(registry.QUERIES[name](spark, SF)) == 0
+    # The dictionary alone may travel.
+    assert broadcasts(registry.QUERIES[name](spark, SF)) == (name in ("selection_cascade",))

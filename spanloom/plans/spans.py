@@ -175,13 +175,6 @@ SPANS = 's as (select key, start, "end", 1 width from u union all select key, st
 PROBES = "p as (select key, cast((key * 37 + k * 101) % length(txt) as int) as off from t, range(4) r(k))"
 
 
-def _spans(units: DataFrame) -> DataFrame:
-    one = units.select("key", "start", "end", F.lit(1).alias("width"))
-    following = units.select("key", (F.col("ordinal") - 1).alias("ordinal"), F.col("end").alias("e2"))
-    pairs = units.join(following, ["key", "ordinal"]).select("key", "start", F.col("e2").alias("end"), F.lit(2).alias("width"))
-    return one.unionByName(pairs)
-
-
 def _probes(texts: DataFrame) -> DataFrame:
     at = (F.col("key") * 37 + F.col("k") * 101) % F.length("simplified_text")
     return texts.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3)))).select("key", at.cast("int").alias("offset"))
@@ -190,7 +183,7 @@ def _probes(texts: DataFrame) -> DataFrame:
 @query(f"""with {UNITS}, {SPANS}, {PROBES} select key, "offset", start, "end", width from (
 select p.key, p.off as "offset", s.start, s."end", s.width, row_number() over (partition by p.key, p.off order by s.width desc, s.start) rn from (select distinct * from p) p join s on s.key = p.key and s.start <= p.off and s."end" > p.off) where rn = 1""")
 def token_at_offset(spark: SparkSession, sf: str) -> DataFrame:
-    return S.covering(_spans(_units(spark, sf)), _probes(_texts(spark, sf)))
+    return S.covering(S.span_rows(_versions(spark, sf), "key", "simplified_text", 2), _probes(_texts(spark, sf)))
 
 
 @query(f"""with {UNITS}, {PROBES} select p.key, p.off as "offset", max(u.ordinal) ordinal from (select distinct * from p) p join u on u.key = p.key and u.start <= p.off group by p.key, p.off""")

@@ -53,6 +53,13 @@ def test_one_long_text_leaves_in_small_batches(spark, caught):
     assert [k for b in out for k in b["key"].to_pylist()] == [1] * 2 + [2] * 120_000 + [3]
 
 
+def test_runs_of_units_are_spans(spark, caught):
+    rows = S.span_rows(spark.createDataFrame([(1, "a  bc, d"), (2, "x"), (3, ""), (4, None), (5, "…")], "id int, t string"), "id", "t", 2).collect()
+    assert sorted(map(tuple, rows)) == [(1, 0, 1, 1), (1, 0, 5, 2), (1, 3, 5, 1), (1, 3, 8, 2), (1, 7, 8, 1), (2, 0, 1, 1)]
+    out = caught(texts(spark), lambda df: S.span_rows(df, "id", "t", 2), ("key", range(TEXTS)), ("text", [TEXT] * TEXTS))
+    assert max(b.num_rows for b in out) <= MOST and sum(b.num_rows for b in out) == (120 + 119) * TEXTS
+
+
 def test_spans_and_runs_leave_in_small_batches(spark, caught):
     many = ("key", range(TEXTS)), ("text", [TEXT] * TEXTS)
     out = caught(texts(spark), lambda df: S.reconciled(df, "id", "t", lexicon(spark), by_length, by_vowel), *many)
@@ -83,7 +90,7 @@ def broadcasts(df):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["paragraph_overlap", "selection_cascade"])
+@pytest.mark.parametrize("name", ["paragraph_overlap", "selection_cascade", "token_at_offset"])
 def test_units_and_spans_are_not_broadcast(spark, name):
     # The dictionary alone may travel.
     assert broadcasts(registry.QUERIES[name](spark, SF)) == (name in ("selection_cascade",))

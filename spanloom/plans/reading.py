@@ -142,8 +142,8 @@ def resolve_offset(spark: SparkSession, sf: str) -> DataFrame:
     """Definition under each offset: the covering token's stored one, else the cached answer, else none (nothing is asked)."""
     probes = P._probes(P._texts(spark, sf)).distinct()
     hit = S.holding(P._spans_of(spark, sf).select("key", "start", "end", "form"), probes).select("key", "offset", "form")
-    found = probes.join(hit, ["key", "offset"], "left").join(P._words(spark, sf).select("form", "gloss"), "form", "left")
-    found = found.withColumn("k", _cache_key(F.col("key"), F.col("form"))).join(_cache(spark, sf), "k", "left")
+    found = probes.join(hit.hint("merge"), ["key", "offset"], "left").join(P._words(spark, sf).select("form", "gloss"), "form", "left")
+    found = found.withColumn("k", _cache_key(F.col("key"), F.col("form"))).join(_cache(spark, sf).hint("merge"), "k", "left")
     source = F.when(F.col("gloss").isNotNull(), "stored").when(F.col("answer").isNotNull(), "cache").otherwise("none")
     return found.select("key", "offset", F.coalesce("form", F.lit("")).alias("form"), F.coalesce("gloss", "answer").alias("definition"), source.alias("source"))
 

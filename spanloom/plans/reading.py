@@ -89,7 +89,7 @@ def _selections(spark: SparkSession, sf: str) -> DataFrame:
 select s.key, s.first, s.last, s.form, s.source <> 'first' locked from sel join spans s using (key, first, last)""")
 def token_exact_range(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens that are exactly the selected range of units."""
-    return _selections(spark, sf).join(P.reconcile_spans(spark, sf), ["key", "first", "last"]).select("key", "first", "last", "form", "locked")
+    return _selections(spark, sf).join(P.reconcile_spans(spark, sf).hint("merge"), ["key", "first", "last"]).select("key", "first", "last", "form", "locked")
 
 
 # The cache that lookups fill: answers by the hash of text and surface, of which the last one counts.

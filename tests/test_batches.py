@@ -90,7 +90,7 @@ def broadcasts(df):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["paragraph_overlap", "selection_cascade", "token_at_offset", "resolve_offset"])
+@pytest.mark.parametrize("name", ["paragraph_overlap", "selection_cascade", "token_at_offset", "resolve_offset", "token_exact_range"])
 def test_units_and_spans_are_not_broadcast(spark, name):
     # The dictionary alone may travel.
     assert broadcasts(registry.QUERIES[name](spark, SF)) == (name in ("selection_cascade", "resolve_offset"))

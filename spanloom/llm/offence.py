@@ -2,14 +2,16 @@
 
 Spelling tricks are undone by the form that is scored: base letters a to z only (marks, spaces, signs and separators
 gone, signs and figures inside words read as the letters they stand for, repeated letters once). Character n-grams of
-that form are hashed; each feature is scaled by its naive Bayes log-count ratio and a regularised logistic model is
-trained per category on windows of labelled sentences; a bounded sample of the corpus adds neutral text, and windows of which a
-first model is sure.
+that form are hashed, and beside them words and pairs of words with their marks. Each feature is scaled by its naive
+Bayes log-count ratio and a regularised logistic model is trained per category on windows of labelled sentences (as they
+are, without marks, taken apart by signs); a bounded sample of the corpus adds neutral text, and windows of which a first
+model is sure.
 Every window of every document is scored; a document's score is its highest window's.
 """
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 import unicodedata
@@ -25,12 +27,14 @@ from .charform import fold
 
 CATEGORIES = ("abuse", "hate", "sexual")
 BITS, ORDERS = 18, (3, 4, 5, 6)
+#: Number that has no weight; n-grams lie in the lower half of the numbers below it, words and pairs of words in the upper.
+NONE = 2 << BITS
 #: Letters of a scored window, and the step between windows.
 WINDOW, STEP, TRAINING_STEP, CORPUS_STEP = 28, 4, 7, 21
 #: Logits from which an unlabelled window joins a category in the next round, and up to which it stays neutral.
 SURE, DOUBT = 1.0, -1.0
-#: Least score of a document in each category. The best of many windows counts, and neutral text scores close to 0.
-THRESHOLDS = {"abuse": 0.3, "hate": 0.3, "sexual": 0.45}
+#: Least score of a document in each category. The best of many windows counts, so neutral documents lie near their worst words.
+THRESHOLDS = {"abuse": 0.5, "hate": 0.4, "sexual": 0.45}
 _LEET = {"@": "a", "$": "s", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
 
 
@@ -62,12 +66,18 @@ def _table() -> np.ndarray:
 
 
 _LETTERS = _table()
+#: Code point -> code point of the small letter with its marks; letters in another dress and signs: the letter they stand for.
+_SIGNS = np.array([ord(chr(cp).lower()[0]) if cp < 0x2000 and 0 < v < 32 else 96 + (v & 31) for cp, v in enumerate(_LETTERS.tolist())], np.uint32)
+_POWERS = np.cumprod(np.full(256, 0x9E3779B1, np.uint64))
 _SENTENCE = re.compile(r"(?<=[.!?…”])\s+|\n+")
 
 
-def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(letter codes of all texts in one array, owner of each letter)."""
-    joined = "\n".join(fold(t).replace("\n", " ") for t in texts)
+def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(letter codes of all folded texts in one array, owner of each letter, numbers of the word and of the pair that end there).
+
+    Words keep their marks, which the letters do not: both readings are scored.
+    """
+    joined = "\n".join(t.replace("\n", " ") for t in texts)
     points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     codes = _LETTERS[np.where(points < MOST_POINT, points, 0)]
     plain = (codes > 0) & (codes < 32)
@@ -84,12 +94,30 @@ def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         reads |= leet & spread
     keep = plain | reads
     owner = np.cumsum(points == 10)
-    codes, owner = (codes & 31)[keep], owner[keep]
+    at = np.nonzero(keep)[0]
+    codes, owner = (codes & 31)[at], owner[at]
     if not len(codes):
-        return codes, owner
+        return codes, owner, np.zeros((0, 2), np.int64)
     fresh = np.ones(len(codes), bool)
     fresh[1:] = (codes[1:] != codes[:-1]) | (owner[1:] != owner[:-1])
-    return codes[fresh], owner[fresh]
+    word = np.cumsum(np.diff(at, prepend=at[0]) > 1)
+    signs = _SIGNS[np.where(points < MOST_POINT, points, 0)[at]]
+    return codes[fresh], owner[fresh], _words(signs[fresh], word[fresh], owner[fresh])
+
+
+def _words(signs: np.ndarray, word: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Hashed word of two letters or more, and hashed pair with the word before it in the same text, at the last letter of each."""
+    out = np.full((len(signs), 2), NONE, np.int64)
+    starts = np.concatenate([[0], np.nonzero(np.diff(word))[0] + 1])
+    sizes = np.diff(starts, append=len(signs))
+    place = np.minimum(np.arange(len(signs)) - np.repeat(starts, sizes), len(_POWERS) - 1)
+    h = np.add.reduceat(signs.astype(np.uint64) * _POWERS[place], starts)[sizes > 1]
+    ends = (starts + sizes - 1)[sizes > 1]
+    spread = lambda x: (1 << BITS) + ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
+    out[ends, 0] = spread(h)
+    joint = owner[ends[1:]] == owner[ends[:-1]]
+    out[ends[1:][joint], 1] = spread(h[1:] * np.uint64(31) + h[:-1] * np.uint64(0x85EBCA6B) + np.uint64(1))[joint]
+    return out
 
 
 def _features(codes: np.ndarray) -> list[np.ndarray]:
@@ -103,22 +131,30 @@ def _features(codes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _windows(text: str, step: int = TRAINING_STEP) -> list[np.ndarray]:
-    """Letter windows of one text for training."""
-    codes, _ = letters([text])
+def _windows(text: str, step: int = TRAINING_STEP) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Windows of one text for training: letters, and numbers of the words that end among them."""
+    codes, _, words = letters([text])
     if len(codes) < max(ORDERS) + 1:
         return []
-    return [codes[i : i + WINDOW] for i in range(0, max(1, len(codes) - WINDOW + step), step)]
+    return [(codes[i : i + WINDOW], words[i : i + WINDOW]) for i in range(0, max(1, len(codes) - WINDOW + step), step)]
+
+
+def _bare(text: str) -> str:
+    """The text without marks."""
+    return "".join(c for c in unicodedata.normalize("NFD", text.replace("đ", "d").replace("Đ", "D")) if not unicodedata.combining(c))
 
 
-def _examples(sample: list[str], seed: int) -> tuple[list[np.ndarray], list[int], int]:
+def _examples(sample: list[str], seed: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[int], int]:
     """(windows, category or -1, number of windows from labelled text)."""
     rng = random.Random(seed)
     fill = lambda s: s.replace("{i}", rng.choice(labelled.INSULTS)).replace("{g}", rng.choice(labelled.GROUPS)).replace("{x}", rng.choice(labelled.NAMES))
-    windows, marks = [], []
+    windows, marks, turns = [], [], itertools.count()
 
     def add(text: str, mark: int) -> None:
-        for w in _windows(text):
+        """In turn as it is, without marks, and with its words taken apart by signs."""
+        text = fold(text)
+        ways = [text, text, _bare(text), ".".join(text)]
+        for w in _windows(ways[next(turns) % len(ways)]):
             windows.append(w)
             marks.append(mark)
 
@@ -135,18 +171,17 @@ def _examples(sample: list[str], seed: int) -> tuple[list[np.ndarray], list[int]
     own = len(windows)
     for text in sample:
         for sentence in _SENTENCE.split(fold(text)):
-            found = _windows(sentence, CORPUS_STEP)
+            found = _windows(_bare(sentence) if next(turns) % 6 == 0 else sentence, CORPUS_STEP)
             windows += found
             marks += [-1] * len(found)
     return windows, marks, own
 
 
-def _matrix(windows: list[np.ndarray]) -> np.ndarray:
+def _matrix(windows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Feature numbers of each window, padded with a number that has no weight."""
-    width = sum(WINDOW - n + 1 for n in ORDERS)
-    out = np.full((len(windows), width), 1 << BITS, np.int32)
-    for k, w in enumerate(windows):
-        f = np.unique(np.concatenate(_features(w)))
+    rows = [np.unique(np.concatenate([*_features(codes), words[words < NONE]])) for codes, words in windows]
+    out = np.full((len(rows), max(map(len, rows))), NONE, np.int32)
+    for k, f in enumerate(rows):
         out[k, : len(f)] = f
     return out
 
@@ -165,13 +200,16 @@ class Model:
             pieces += parts
             of += [k] * len(parts)
         best = np.full((len(texts), len(CATEGORIES)), -50.0, np.float32)
-        codes, owner = letters(pieces)
-        if len(codes) <= max(ORDERS):
+        codes, owner, words = letters(pieces)
+        if not len(codes):
             return np.zeros_like(best)
         total = np.zeros((len(codes), len(CATEGORIES)), np.float32)
         for n, feature in zip(ORDERS, _features(codes)):
             inside = owner[: len(feature)] == owner[n - 1 :]
             total[n - 1 :][inside] += self.weights[feature[inside]]
+        for feature in words.T:
+            there = np.nonzero(feature < NONE)[0]
+            total[there] += self.weights[feature[there]]
         run = np.concatenate([np.zeros((1, len(CATEGORIES))), np.cumsum(total, axis=0, dtype=np.float64)])
         bounds = np.searchsorted(owner, np.arange(len(pieces) + 1))
         first, end = bounds[:-1], bounds[1:]
@@ -217,7 +255,7 @@ def _model(rows: np.ndarray, labels: np.ndarray, steps: int, l2: float, smoothin
     """
     used, flat = np.unique(rows.ravel(), return_inverse=True)
     n, width = rows.shape
-    pad = used == 1 << BITS
+    pad = used == NONE
     order = np.argsort(flat, kind="stable")
     owner, cuts = order // width, np.searchsorted(flat[order], np.arange(len(used)))
     y = (labels[:, None] == np.arange(len(CATEGORIES))).astype(np.float32)
@@ -238,7 +276,7 @@ def _model(rows: np.ndarray, labels: np.ndarray, steps: int, l2: float, smoothin
         rate = 0.1 / (1 - 0.9**t)
         w = w - rate * m / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         b = b - rate * mb / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
-    weights = np.zeros(((1 << BITS) + 1, len(CATEGORIES)), np.float32)
+    weights = np.zeros((NONE + 1, len(CATEGORIES)), np.float32)
     weights[used] = w * ratio * scale
     return Model(weights, b.astype(np.float32))
 

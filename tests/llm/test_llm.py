@@ -417,3 +417,27 @@ def test_offence_held_out(model):
     # Nothing of the held-out sentences is labelled text.
     trained = {offence.letters([t])[0].tobytes() for t in (*labelled.ABUSE, *labelled.HATE, *labelled.SEXUAL, *labelled.NEUTRAL)}
     assert not trained & {offence.letters([t])[0].tobytes() for lines in (held_out.ABUSE, held_out.HATE, held_out.SEXUAL, held_out.NEUTRAL) for t in lines}
+
+
+def test_offence_words_keep_marks(model):
+    """Same letters, other words: numbers of words tell them apart, and pairs stay within a text."""
+    (codes, owner, words), (bare, _, plain) = (offence.letters([t]) for t in ("mày đẹp, bé ngủ", "may dep, be ngu"))
+    assert (codes == bare).all() and ((words < offence.NONE) == (plain < offence.NONE)).all()
+    assert (words < offence.NONE).sum(axis=0).tolist() == [4, 3] and not (words == plain)[words < offence.NONE].any()
+    texts = ["Mày là đồ ngu.", "", "Hôm nay trời mưa.", "Ở đây", "M.à.y"]
+    codes, owner, words = offence.letters(texts)
+    for k, t in enumerate(texts):
+        assert (words[owner == k] == offence.letters([t])[2]).all()
+
+
+def test_offence_score_does_not_depend_on_the_batch(model):
+    texts = ["Mày là đồ ngu.", "", "Hôm nay trời mưa.", "Ở đây", "M.à.y", "a", "ngu", "123"]
+    assert np.allclose(model.score(texts), np.concatenate([model.score([t]) for t in texts]), atol=1e-5)
+
+
+def test_offence_neutral_text_is_told_apart(model):
+    """At most one neutral held-out sentence in ten is flagged, with at least four of five offensive ones found."""
+    least = np.array(list(offence.THRESHOLDS.values()))
+    assert (model.score(held_out.filled(held_out.NEUTRAL)) >= least).any(axis=1).mean() <= 0.1
+    for c, lines in enumerate((held_out.ABUSE, held_out.HATE, held_out.SEXUAL)):
+        assert (model.score(held_out.filled(lines))[:, c] >= least[c]).mean() >= 0.8

@@ -102,7 +102,12 @@ def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     fresh[1:] = (codes[1:] != codes[:-1]) | (owner[1:] != owner[:-1])
     word = np.cumsum(np.diff(at, prepend=at[0]) > 1)
     signs = _SIGNS[np.where(points < MOST_POINT, points, 0)[at]]
-    return codes[fresh], owner[fresh], _words(signs[fresh], word[fresh], owner[fresh])
+    # A word keeps a first letter that ends the word before; its other letters are fresh in both readings.
+    own = fresh.copy()
+    own[1:] |= word[1:] != word[:-1]
+    words = np.full((len(codes), 2), NONE, np.int64)
+    words[own] = _words(signs[own], word[own], owner[own])
+    return codes[fresh], owner[fresh], words[fresh]
 
 
 def _words(signs: np.ndarray, word: np.ndarray, owner: np.ndarray) -> np.ndarray:

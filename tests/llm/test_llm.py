@@ -424,6 +424,8 @@ def test_offence_words_keep_marks(model):
     (codes, owner, words), (bare, _, plain) = (offence.letters([t]) for t in ("mày đẹp, bé ngủ", "may dep, be ngu"))
     assert (codes == bare).all() and ((words < offence.NONE) == (plain < offence.NONE)).all()
     assert (words < offence.NONE).sum(axis=0).tolist() == [4, 3] and not (words == plain)[words < offence.NONE].any()
+    alone, after = offence.letters(["hai"])[2], offence.letters(["anh haiii"])[2]
+    assert alone[-1, 0] == after[-1, 0] and (after < offence.NONE).sum(axis=0).tolist() == [2, 1]
     texts = ["Mày là đồ ngu.", "", "Hôm nay trời mưa.", "Ở đây", "M.à.y"]
     codes, owner, words = offence.letters(texts)
     for k, t in enumerate(texts):

@@ -18,25 +18,34 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import stage
 from . import boilerplate
-from ._arrow import over_batches
+from ._arrow import over_slices
 
 #: Positions on the ring; the second permutation then has 16-bit values.
 RING = 1 << 16
 _WORD = re.compile(r"\w+")
 
 
+#: Pieces of text that a task remembers, and the longest of them.
+PIECES, PIECE = 500_000, 40
+
+
 class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > 2_000_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+    """Hashes of the words of a piece of text between spaces, 8 bytes each. Words never hold a space, and a letter's
+    lower case never depends on what stands beyond one."""
+
+    def __missing__(self, piece: str) -> bytes:
+        found = _WORD.findall(piece.lower())
+        value = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found)).tobytes()
+        if len(piece) <= PIECE:
+            if len(self) >= PIECES:
+                self.clear()
+            self[piece] = value
         return value
 
 
 def words(text: str, memo: dict) -> np.ndarray:
     """64-bit hashes of a folded text's words (runs of letters, figures and _), in lower case."""
-    found = _WORD.findall(text.lower())
-    return np.fromiter(map(memo.__getitem__, found), np.uint64, len(found))
+    return np.frombuffer(b"".join(map(memo.__getitem__, text.split())), np.uint64)
 
 
 def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -71,19 +80,27 @@ def _signed(values: np.ndarray) -> list[int]:
     return values.astype(np.uint64).view(np.int64).tolist()
 
 
-def bands_of(signature: np.ndarray, bands: int, rows: int) -> list[int]:
-    part = signature[: bands * rows].reshape(bands, rows).astype(np.uint64)
+def distinct(runs: np.ndarray) -> np.ndarray:
+    ordered = np.sort(runs)
+    kept = np.ones(len(ordered), bool)
+    kept[1:] = ordered[1:] != ordered[:-1]
+    return ordered[kept]
+
+
+def bands_of(signatures: np.ndarray, bands: int, rows: int) -> list[list[int]]:
+    """Bands of each row of `signatures`."""
+    part = signatures[:, : bands * rows].reshape(-1, bands, rows).astype(np.uint64)
     out = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for k in range(rows):
-        out = (out ^ (out >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9) + part[:, k]
+        out = (out ^ (out >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9) + part[:, :, k]
     return _signed(out ^ (out >> np.uint64(27)))
 
 
-def sketch_of(signature: np.ndarray, longs: int = 3) -> list[int]:
-    """One bit of each of the first 64 * `longs` coordinates."""
-    value = signature[: 64 * longs].astype(np.uint64)
+def sketch_of(signatures: np.ndarray, longs: int = 3) -> list[list[int]]:
+    """One bit of each of the first 64 * `longs` coordinates of each row of `signatures`."""
+    value = signatures[:, : 64 * longs].astype(np.uint64)
     bits = (((value * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) & np.uint64(1)).astype(np.uint8)
-    return np.packbits(bits).view(np.int64).tolist()
+    return np.packbits(bits, axis=1).view(np.int64).tolist()
 
 
 def proposed_pairs(members: DataFrame, threshold: float) -> DataFrame:
@@ -124,17 +141,17 @@ def _signed_bodies(pages: DataFrame, cleaner: Callable, size: int, bands: int, r
     def run(batches: Iterator[tuple[list, ...]]) -> Iterator[list[tuple]]:
         minhash, memo, clean = Circulant(bands * rows), _Hashes(), cleaner()
         for batch in batches:
-            out = []
-            for row_id, text, url, gone in zip(*batch):
+            keys, signatures = [], []
+            for _, text, url, gone in zip(*batch):
                 hashes = words("\n".join(clean(text, url, gone)), memo)
-                if not len(hashes):
-                    out.append((row_id, None, [], []))
-                    continue
-                signature = minhash(shingles(hashes, size))
-                out.append((row_id, xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63), bands_of(signature, bands, rows), sketch_of(signature)))
-            yield out
+                keys.append(xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63) if len(hashes) else None)
+                if len(hashes):
+                    signatures.append(minhash(shingles(hashes, size)))
+            signed = np.array(signatures, np.uint16).reshape(-1, bands * rows)
+            of = zip(bands_of(signed, bands, rows), sketch_of(signed))
+            yield [(row_id, key, *(([], []) if key is None else next(of))) for row_id, key in zip(batch[0], keys)]
 
-    return over_batches(pages.select("row_id", "text", "url", "gone"), run, BODIES)
+    return over_slices(pages.select("row_id", "text", "url", "gone"), run, BODIES)
 
 
 def _bodies_and_pairs(articles: DataFrame, size: int, threshold: float, bands: int, rows: int, key: str, text: str, url: str) -> tuple[DataFrame, DataFrame]:
@@ -213,8 +230,8 @@ def _near(members: DataFrame, pages: DataFrame, cleaner: Callable, size: int, th
             out = []
             for row_id, text, url, gone in zip(*batch):
                 hashes = words("\n".join(clean(text, url, gone)), memo)
-                out.append((row_id, _signed(np.unique(shingles(hashes, size)))))
+                out.append((row_id, _signed(distinct(shingles(hashes, size)))))
             yield out
 
-    sets = over_batches(pages.join(wanted, "row_id", "left_semi").select("row_id", "text", "url", "gone"), run, "row_id bigint, runs array<bigint>")
+    sets = over_slices(pages.join(wanted, "row_id", "left_semi").select("row_id", "text", "url", "gone"), run, "row_id bigint, runs array<bigint>")
     return verified(proposed, stage(sets, "runs"), threshold, strict=True)

@@ -7,6 +7,7 @@ import unicodedata
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from spanloom.llm import boilerplate, charform, leakage, mixing, neardup, offence, offence_texts as labelled, pairs, readability, repeated, truncation
@@ -83,6 +84,29 @@ def test_bodies_by_join_agree(spark):
     assert got[0] == got[1] and all(len(x) == 3 for x in got[0].values())
 
 
+@pytest.mark.parametrize("most", [0, 1000])
+def test_bodies_need_no_second_parse(spark, monkeypatch, most):
+    data = [(k, noticed(k) + "\n\u115f", f"https://bao{k % 2}.example/{k}") for k in range(80)] + [(100, " \n\n", "u")]
+    df = spark.createDataFrame(data, "row_id bigint, text string, url string")
+    pages, cleaner = boilerplate.cleaned(df, most=most)
+    clean = cleaner()
+
+    def again(*_):
+        raise AssertionError("a page is parsed or folded again")
+
+    monkeypatch.setattr(boilerplate, "parse", again)
+    monkeypatch.setattr(boilerplate, "fold", again)
+    got = {r["row_id"]: clean(r["text"], r["url"], r["gone"]) for r in pages.collect()}
+    assert got[100] == [] and all(got[k][:3] == [story(k + 100), f"Rồi {NAMES[k % 22]} {NAMES[k // 3 % 22]} về Bãi.", story(k + 900)] for k in range(80))
+
+
+def test_ratios_read_lines_once(spark):
+    parsed = boilerplate.paths(spark.createDataFrame([(k, noticed(k), f"https://bao{k % 2}.example/{k}") for k in range(8)], "id int, original_text string, source_url string"))
+    for df in boilerplate.ratios(parsed):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "Window" not in plan and "MapInArrow" not in plan
+
+
 def test_charform(spark):
     values = ["quyền", unicodedata.normalize("NFD", "quyền"), "сha mẹ", "cha mẹ", "ｃha", "t\u200bái", "a\u00a0b", "чай", "vitamin B₁₂", "½ ℃ Ω 🙂‍", "", None, "Đ", "Ðêm", "đêm", "“x” – …"]
     df = spark.createDataFrame(list(enumerate(values)), "id int, v string")
@@ -192,6 +216,18 @@ def test_components_against_brute_force(spark):
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
 
 
+def test_words_of_pieces_are_those_of_the_text(monkeypatch):
+    monkeypatch.setattr(neardup, "PIECES", 50, raising=False)
+    rng = random.Random(3)
+    odd = "ΑΣςσ\u0130ıẞ'’·.:-_\u0301\u0307\u200b\u00ad \u00a0\u3000\x1c\x85\u180e aBéỆ1٣½日\n\t\r😀"
+    memo = neardup._Hashes()
+    for _ in range(3000):
+        text = "".join(rng.choice(odd) for _ in range(rng.randrange(14)))
+        assert neardup.words(text, memo).tolist() == [xxhash.xxh3_64_intdigest(w) for w in re.findall(r"\w+", text.lower())]
+    # A text without spaces is one piece, which is not kept.
+    assert len(neardup.words("日本" * 500, memo)) == 1 and len(memo) <= 50 and max(map(len, memo)) <= 40
+
+
 def test_circulant_estimates_jaccard():
     rng = np.random.default_rng(1)
     minhash = neardup.Circulant(250)
